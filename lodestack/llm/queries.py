@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
 from .minhash import near_groups
+from .mixing import mixed_order
+from .packing import packed_documents
 from .quality_rules import quality_report
 from .runtime import documents
 
@@ -20,11 +22,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+#: Target weights of the sources src0, src1, ... of the test tables: 1 to 5, in turn.
+WEIGHTS = {f"src{i}": 1 + i % 5 for i in range(20)}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_order(documents(spark, sf_dir), WEIGHTS)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op4_exact_dedup, op7_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op4_exact_dedup, op5_mixing, op6_packing, op7_quality_rules)}
 
 SQL: dict[str, str] = {}
 
@@ -85,3 +99,28 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.d
   d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) as kept
 from d left join n on n.doc_id = d.doc_id left join c on c.doc_id = d.doc_id
 """
+
+SQL["op5_mixing"] = r"""
+with recursive src as (
+  select source, n, q, cast(row_number() over (order by source) - 1 as integer) as i, cast(sum(q) over () as bigint) as total
+  from (select source, count(*) as n, 1 + cast(substring(source, 4) as integer) % 5 as q from documents group by source)
+),
+edf as (
+  select cast(-1 as bigint) as t, -1 as i, (select list(cast(0 as bigint) order by i) from src) as k
+  union all
+  select s.t + 1, s.pick, list_transform(s.k, lambda v, j: case when j = s.pick + 1 then v + 1 else v end)
+  from (
+    select e.t, e.k, (
+      select arg_min(src.i, ((e.k[src.i + 1] + 1) * total + q - 1) // q * 100000 + src.i) from src
+      where e.k[src.i + 1] < q and e.k[src.i + 1] * total // q <= e.t + 1) as pick
+    from edf e where e.t + 1 < (select max(total) from src)
+  ) s
+),
+plan as (select t as slot, i, row_number() over (partition by i order by t) - 1 as k from edf where t >= 0),
+d as (select doc_id, source, row_number() over (partition by source order by md5(cast(doc_id as varchar)), doc_id) - 1 as n from documents),
+b as (
+  select doc_id, d.source, d.n // 16 as block, d.n % 16 as place, (d.n // 16) // q * total + slot as slot
+  from d join src on d.source = src.source join plan on plan.i = src.i and plan.k = (d.n // 16) % q
+)
+select doc_id, source, cast(block as bigint) as block, cast(slot as bigint) as slot, row_number() over (order by slot, place) - 1 as position from b
+"""

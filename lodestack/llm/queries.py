@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .compression_classifier import quality_scores
 from .exact_dedup import exact_groups
 from .minhash import near_groups
 from .mixing import mixed_order
 from .packing import packed_documents
+from .pii import pii_report
 from .quality_rules import quality_report
 from .runtime import documents
 
@@ -18,6 +20,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(documents(spark, sf_dir))
+
+
+def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -38,7 +48,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op4_exact_dedup, op5_mixing, op6_packing, op7_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii, op3_compression_classifier, op4_exact_dedup, op5_mixing, op6_packing, op7_quality_rules)}
 
 SQL: dict[str, str] = {}
 

@@ -12,10 +12,14 @@
    ``threshold - MARGIN`` (five standard errors) go; the rest is confirmed on
    the full shingle sets.
 4. Confirmed links make components. A bucket whose nodes are in one component
-   needs nothing more. In any other bucket each node outside the largest
-   component meets all nodes of other components there: the same estimate is
-   the join's condition, and what passes is confirmed on full sets. So every
-   pair that shares a bucket is linked, known to be connected, or refused.
+   needs nothing more. In any other bucket of at most ``SMALL`` nodes each node
+   outside the largest component meets all nodes of other components there:
+   the same estimate is the join's condition, and what passes is confirmed on
+   full sets. Larger buckets are cut into tiles of two blocks of at most
+   ``TILE`` nodes; a tile computes its intersections exactly as a product of
+   incidence matrices and returns links between different components alone.
+   So every pair that shares a bucket is linked, known to be connected, or
+   refused, and no step returns a row for each pair of a group.
 
 With 32 bands of 4 rows, a pair at similarity 0.75 shares no bucket with a
 probability of 5 in a million.
@@ -43,6 +47,8 @@ from .shingles import Shingler, mix
 BANDS, ROWS, BITS = 32, 4, 2
 #: Below the threshold by so much, an estimate rules a pair out: five standard errors of 128 two-bit values.
 MARGIN = 0.23
+#: Nodes of a bucket up to which pairs are joined; nodes in a block of a tile; shingles that a tile multiplies at once.
+SMALL, TILE, _COLUMNS = 64, 512, 4096
 #: Percent of the union that the intersection must have.
 THRESHOLD = 75
 _PERMUTATIONS = BANDS * ROWS
@@ -123,6 +129,37 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _tile_links(threshold: int):
+    """For the nodes of one tile, the links between different components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shingle = Shingler()
+        node, comp, block = (table[k].to_numpy() for k in ("node", "comp", "block"))
+        sets = [shingle(v.as_py()) for v in table["text"].combine_chunks().cast(pa.binary())]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1  # what one node alone has is in no intersection
+        owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(shared.sum()), _COLUMNS):
+            a, b = np.searchsorted(column, (low, low + _COLUMNS))
+            has = np.zeros((len(sets), _COLUMNS), np.float32)
+            has[owner[a:b], column[a:b] - low] = 1
+            both += has @ has.T  # counts below 2^24 are exact
+        union = sizes[:, None] + sizes[None, :] - both
+        first, last = table["first"][0].as_py(), table["last"][0].as_py()
+        link = (100 * both >= threshold * union) & (comp[:, None] != comp[None, :]) & (node[:, None] < node[None, :])
+        if first != last:
+            link &= block[:, None] != block[None, :]
+        i, j = np.nonzero(link)
+        return pa.table({"a": pa.array(node[i], pa.int64()), "b": pa.array(node[j], pa.int64())})
+
+    return run
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id)."""
     sig = materialise(signatures(docs, id_col, text_col), "signatures")
@@ -169,18 +206,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = placed(held.select("bucket", "node"), "node", "comp")
     mixed = spread.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("bucket")
     spread = materialise(signed(spread.join(mixed.hint("merge"), "bucket"), "node", "x"), "mixed")
-    largest = spread.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("_m")).select("bucket", F.col("_m.comp").alias("_major"))
-    ask = spread.join(largest.hint("merge"), "bucket").where("comp <> _major").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), *(F.col(f"x{j}").alias(f"y{j}") for j in range(4)))
+    sizes = spread.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("_m"), F.sum("n").alias("_nodes"))
+    sizes = sizes.select("bucket", F.col("_m.comp").alias("_major"), "_nodes")
+    spread = materialise(spread.join(sizes.hint("merge"), "bucket"), "sized")
+
+    small = spread.where(F.col("_nodes") <= SMALL)
+    ask = small.where("comp <> _major").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), *(F.col(f"x{j}").alias(f"y{j}") for j in range(4)))
     meet = (F.col("comp") != F.col("cb")) & (_similarity("x", "y") >= enough)
-    cross = ask.hint("merge").join(spread.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & meet)
+    cross = ask.join(small.withColumnRenamed("bucket", "_bucket").hint("merge"), (F.col("bucket") == F.col("_bucket")) & meet)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
     cross = materialise(cross, "cross")
-    if not cross.isEmpty():
-        more = materialise(_confirmed(cross, of_nodes(cross), threshold), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = materialise(components(links, "a", "b"), "components")
+    more = [] if cross.isEmpty() else [materialise(_confirmed(cross, of_nodes(cross), threshold), "links")]
+
+    large = materialise(spread.where(F.col("_nodes") > SMALL).select("bucket", "node", "comp", F.ceil(F.col("_nodes") / TILE).cast("int").alias("_blocks")), "large")
+    if not large.isEmpty():
+        tiles = (
+            large.join(of_nodes(large.select(F.col("node").alias("a"), F.col("node").alias("b"))).hint("merge"), "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+            .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+            .select("bucket", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("last"), "node", "comp", "block", "text")
+        )
+        more.append(materialise(tiles.groupBy("bucket", "first", "last").applyInArrow(_tile_links(threshold), "a long, b long").distinct(), "links"))
+    for found in more:
+        links = links.unionByName(found)
+    if any(not found.isEmpty() for found in more):
+        comp = materialise(components(links, "a", "b"), "components")
 
     low = placed(nodes.select("node", "low_id"), "node", "comp")
     # an id that is given twice joins the components of its texts

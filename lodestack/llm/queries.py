@@ -14,6 +14,7 @@ from .mixing import mixed_order
 from .packing import packed_documents
 from .pii import pii_report
 from .quality_rules import quality_report
+from .repeats import without_repeats
 from .runtime import documents
 from .warc import warc_round_trip
 
@@ -50,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir), keep_first=False)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(documents(spark, sf_dir, "pages"))
 
@@ -61,7 +66,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table.unionByName(more))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii, op3_compression_classifier, op4_exact_dedup, op5_mixing, op6_packing, op7_quality_rules, op9_warc, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii, op3_compression_classifier, op4_exact_dedup, op5_mixing, op6_packing, op7_quality_rules, op8_repeats, op9_warc, op10_chat)}
 
 SQL: dict[str, str] = {}
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .plans import relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES}
+SQL: dict[str, str] = {**relational.SQL}
 FLAGSHIP = "lookahead_span"

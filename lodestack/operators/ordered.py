@@ -34,7 +34,7 @@ def lookahead_span(df: DataFrame, keys: Cols, start: str, order: Cols, out: str,
     rows = df.withColumn("_b", is_boundary)
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     gap = F.coalesce(F.lead(start).over(w), none if end is None else end) - F.col(start)
-    span = F.coalesce(F.greatest(F.lit(0), gap), stored)
+    span = F.coalesce(F.when(gap.isNotNull(), F.greatest(F.lit(0), gap)), stored)
     capped = F.when(F.lit(False) if placeholder is None else placeholder, span).otherwise(F.least(span, stored))
     return rows.withColumn(out, F.when(F.col("_b"), capped).otherwise(F.lit(0)).cast("long")).drop("_b")
 

@@ -39,12 +39,16 @@ CELL_DIGITS = 3
 
 
 def _keyed(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    """With the source as a key that is never null, and the order within a source."""
+    """Each row as one struct, with its source as a key that is never null and its order within the source."""
     source = F.col(source_col).cast("string")
-    return docs.withColumns({
-        "_source": F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source)),
-        "_order": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))),
-    }).withColumn("_cell", F.substring("_order", 1, CELL_DIGITS))
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("_row"),
+        F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source)).alias("_source"),
+        order.alias("_order"),
+        F.substring(order, 1, CELL_DIGITS).alias("_cell"),
+        F.col(id_col).alias("_id"),
+    )
 
 
 def _schedule(counts: DataFrame, weights: Mapping[str, int], block_rows: int) -> DataFrame:
@@ -72,13 +76,13 @@ def _schedule(counts: DataFrame, weights: Mapping[str, int], block_rows: int) ->
     )
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, with _block (within the source), _slot and _position (from 0, without gaps)."""
+def place(docs: DataFrame, weights: Mapping[str, int] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(row, block, slot, position): each row of ``docs`` as a struct, its block within the source, and its place, from 0 without gaps."""
     rows = _keyed(docs, id_col, source_col)
     counts = rows.groupBy("_source", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_source", "_cell").orderBy("_order", id_col)
+    within = Window.partitionBy("_source", "_cell").orderBy("_order", "_id")
     numbered = rows.withColumn("_at", F.row_number().over(within) - 1).join(cells.hint("merge"), ["_source", "_cell"]).withColumn("_n", F.col("_before") + F.col("_at"))
     plan = F.broadcast(_schedule(counts, weights or {}, block_rows))  # at most MAX_PERIOD rows
     placed = (
@@ -88,20 +92,20 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, id_col: str =
     )
     start = f"aggregate(_load, 0L, (a, x) -> a + least(x.n, {block_rows}L * (_turn * x.q + x.k)))"
     return placed.select(
-        *(docs[c] for c in docs.columns),
-        "_block",
-        F.expr("_turn * _period + _slot").alias("_slot"),
-        F.expr(f"{start} + _n % {block_rows}").alias("_position"),
+        F.col("_row").alias("row"),
+        F.col("_block").alias("block"),
+        F.expr("_turn * _period + _slot").alias("slot"),
+        F.expr(f"{start} + _n % {block_rows}").alias("position"),
     )
 
 
 def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """For each row: doc_id, source, block, slot, position."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
-    return mix(picked, weights).select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
+    return place(picked, weights).select("row.doc_id", "row.source", "block", "slot", "position")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` in mixed order: the partitions are ranges of positions, sorted, so that the files written from them follow one another."""
-    out = mix(docs, weights, id_col, source_col)
-    return out.repartitionByRange("_position").sortWithinPartitions("_position").select(docs.columns)
+    out = place(docs, weights, id_col, source_col).select("row", "position")
+    return out.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

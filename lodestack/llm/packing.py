@@ -5,10 +5,12 @@ cut. Pieces are dealt over partitions of at most ``ITEMS`` and packed there by
 best-fit decreasing. Dual feasible functions (a threshold family and a
 rounding family over the lengths) give a lower bound for the partition's bins:
 a partition that meets its bound is certified, its packing is optimal and
-stays. Partitions with a gap keep their exactly full bins and exchange the
-documents of all others: those are dealt anew over fewer partitions and
-packed again by best-fit decreasing, until one partition is left or all are
-certified. Only (id, piece, length) rows move; texts are read once.
+keeps all bins that are nearly full. Partitions with a gap keep their exactly
+full bins. All other bins' documents are exchanged: dealt anew, over as few
+partitions as hold them, and packed again by best-fit decreasing. That ends
+when the bins together meet the bound of all lengths, one partition is left,
+or after ``ROUNDS``; a task never packs more than about ``ITEMS``. Only (id,
+piece, length) rows move; texts are read once.
 
 Defined cases: a null text is empty; an empty text is the one id 0; rows
 without an id or with an id given twice are packed as rows of their own; an
@@ -36,6 +38,7 @@ from .runtime import materialise, text_of
 CAPACITY = 2048
 #: Pieces that a task packs at once, about.
 ITEMS = 40_000
+ROUNDS = 5
 #: Parts of which a worker remembers the ids: some 80 MB.
 _CACHE = 350_000
 _ROUND_BITS, _PART_BITS = 58, 30
@@ -111,11 +114,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The largest bin count that the dual feasible functions prove."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The largest bin count that the dual feasible functions prove; ``count`` has how many documents each length has."""
     size = np.arange(capacity + 1)
     many, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * size)])
     a = np.arange(capacity // 2 + 1)  # above capacity - a: a bin each; below a: nothing
@@ -125,10 +125,14 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     for k in range(1, 33):  # u_k(x) = x where (k + 1) x is a multiple of the capacity, else floor((k + 1) x / capacity) capacity / k
         up = (k + 1) * size
         scaled = np.where(up % capacity == 0, k * size, up // capacity * capacity)
-        best = max(best, int(-(-int((count * scaled).sum()) // (k * capacity))))
+        best = max(best, -(-int((count * scaled).sum()) // (k * capacity)))
     return best
 
 
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
     """(bin, offset) of each length, and the number of bins. The open bins lie by their free space; the set bits of one integer tell which spaces exist."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -155,11 +159,12 @@ def _packer(round_: int, last: bool, capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
-        certified = last or n <= lower_bound(lengths, capacity)
         fill = np.bincount(bins, lengths, n)
+        certified = n <= lower_bound(lengths, capacity)
+        done = fill >= (0 if last else capacity - capacity // 32 if certified else capacity)
         pdf["sequence_id"] = (round_ << _ROUND_BITS) + (pdf["_part"].to_numpy(np.int64) << _PART_BITS) + bins
         pdf["offset"] = offsets
-        pdf["_done"] = certified | (fill[bins] >= capacity)
+        pdf["_done"] = done[bins]
         return pdf
 
     return run
@@ -170,22 +175,29 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS) -> D
     fields = [f for f in items.schema if f.name not in ("sequence_id", "offset")]
     todo = materialise(items.select([f.name for f in fields]).withColumn("_item", F.monotonically_increasing_id()), "pieces")
     keep = [f.name for f in fields] + ["sequence_id", "offset"]
+    held = np.zeros(capacity + 1, np.int64)
+    for length, n in todo.groupBy("length").count().collect():  # a row for each length at most
+        held[length] = n
+    bound = bound_of_counts(held, capacity)
     done: list[DataFrame] = []
-    before = None
-    for round_ in range(30):
+    bins = 0
+    for round_ in range(ROUNDS):
         n = todo.count()
         if not n and done:
             break
         parts = -(-n // per_task) or 1
-        parts = parts if before is None else max(1, min(parts, before // 2))
-        last = parts == 1
+        last = parts == 1 or round_ == ROUNDS - 1
         dealt = todo.withColumn("_part", F.expr(f"pmod(xxhash64(_item, {round_}), {parts})"))
         schema = T.StructType(dealt.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_done", T.BooleanType())])
         packed = materialise(dealt.groupBy("_part").applyInPandas(_packer(round_, last, capacity), schema), f"packed-{round_}")
-        done.append(packed.where("_done").select(keep))
-        if last:
+        # a bin has one document at its start
+        now = dict(packed.where("offset = 0").groupBy("_done").count().collect())
+        if last or bins + sum(now.values()) <= bound:
+            done.append(packed.select(keep))
             break
-        todo, before = packed.where("not _done").select(todo.columns), parts
+        done.append(packed.where("_done").select(keep))
+        bins += now.get(True, 0)
+        todo = packed.where("not _done").select(todo.columns)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

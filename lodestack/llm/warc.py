@@ -111,14 +111,14 @@ class _Archive:
         self.fs.move(self.temp, self.path)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """(archive, page_id, digest, html) to chunk rows."""
     for batch in batches:
         for archive, page_id, digest, html in zip(*(batch.column(k) for k in range(3)), batch.column(3).cast(pa.binary())):
             view = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
-            for n, at in enumerate(range(0, len(view), CHUNK)):
+            for n, at in enumerate(range(0, len(view), chunk_bytes)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([archive.as_py()], pa.int32()), pa.array([page_id.as_py()], pa.int64()), pa.array([digest.as_py()]), pa.array([n], pa.int32()), pa.array([bytes(view[at : at + CHUNK])], pa.binary())],
+                    [pa.array([archive.as_py()], pa.int32()), pa.array([page_id.as_py()], pa.int64()), pa.array([digest.as_py()]), pa.array([n], pa.int32()), pa.array([bytes(view[at : at + chunk_bytes])], pa.binary())],
                     names=["archive", "page_id", "digest", "chunk", "data"],
                 )
 
@@ -183,7 +183,7 @@ def _writer(folder: str):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, chunk_bytes: int = CHUNK) -> DataFrame:
     """Writes the archives; returns (path, records) of each, stored."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
@@ -199,7 +199,7 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
     heads = records.join(first.hint("merge"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("_first")), None).otherwise(F.col("_first")))
     archive = F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int").alias("archive")
     heads = heads.select(archive, "page_id", "digest", F.lit(_NONE).alias("chunk"), F.lit(None).cast("binary").alias("data"), "url", "n_bytes", "refers_to", "copies")
-    body = rows.select(archive, "page_id", "digest", "html").mapInArrow(lambda b: _batched(_chunks(b)), "archive int, page_id long, digest string, chunk int, data binary")
+    body = rows.select(archive, "page_id", "digest", "html").mapInArrow(lambda b: _batched(_chunks(b, chunk_bytes)), "archive int, page_id long, digest string, chunk int, data binary")
     both = heads.unionByName(body, allowMissingColumns=True)
     dealt = both.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "digest", "chunk")
     return materialise(dealt.mapInArrow(_writer(folder), "path string, records long"), "archives")
@@ -224,7 +224,7 @@ def _blocks(path: str, scheme: str) -> Iterator[tuple[bool, bytes]]:
                         raise ValueError(f"{path} ends within a record")
 
 
-def _records(path: str, scheme: str) -> Iterator[tuple[dict, int, bytes, bool]]:
+def _records(path: str, scheme: str, chunk_bytes: int) -> Iterator[tuple[dict, int, bytes, bool]]:
     """(headers, chunk number, bytes, last) of every chunk of every record that is not warcinfo; never holds more than a chunk."""
     head: dict | None = None
     held, chunk, left = b"", 0, 0
@@ -252,8 +252,8 @@ def _records(path: str, scheme: str) -> Iterator[tuple[dict, int, bytes, bool]]:
         if head["WARC-Type"] == "warcinfo" or left < 0:
             held = b""
             continue
-        while left > 0 and (len(held) >= min(left, CHUNK)):
-            data, held = held[: min(left, CHUNK)], held[min(left, CHUNK) :]
+        while left > 0 and len(held) >= (size := min(left, chunk_bytes)):
+            data, held = held[:size], held[size:]
             left -= len(data)
             yield head, chunk, data, not left
             chunk += 1
@@ -261,7 +261,7 @@ def _records(path: str, scheme: str) -> Iterator[tuple[dict, int, bytes, bool]]:
             left = -1
 
 
-def read_warc(archives: DataFrame, folder: str, with_data: bool = True) -> DataFrame:
+def read_warc(archives: DataFrame, folder: str, with_data: bool = True, chunk_bytes: int = CHUNK) -> DataFrame:
     """Chunk rows of the archives named in the column path: page_id, chunk, [data], payload_bytes and payload_digest so far, record_type, refers_to, last."""
 
     def page(uri: str | None) -> int | None:
@@ -276,7 +276,7 @@ def read_warc(archives: DataFrame, folder: str, with_data: bool = True) -> DataF
         rows, size = [], 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                for head, chunk, data, last in _records(path, folder):
+                for head, chunk, data, last in _records(path, folder, chunk_bytes):
                     if not chunk:
                         sha, done = hashlib.sha1(), 0
                     sha.update(data)

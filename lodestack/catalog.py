@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational
+from .plans import codec_queries, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES}
-SQL: dict[str, str] = {**relational.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **codec_queries.QUERIES}
+SQL: dict[str, str] = {**relational.SQL, **codec_queries.SQL}
 FLAGSHIP = "lookahead_span"

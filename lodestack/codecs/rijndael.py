@@ -119,8 +119,8 @@ class Rijndael:
             out.append(last)
         return b"".join(out)
 
-    def decrypt(self, iv: bytes, data: bytes) -> bytes:
-        """Without the zero bytes at the end, at most a block of them."""
+    def decrypt(self, iv: bytes, data: bytes, strip: bool = True) -> bytes:
+        """Without the zero bytes at the end, at most a block of them; with ``strip`` off, all bytes, for data that know their own end."""
         size = 4 * self.columns
         if not data or len(data) % size:
             raise ValueError("the length is no multiple of the block's")
@@ -129,7 +129,7 @@ class Rijndael:
             out.append(self._xor(self.decrypt_block(data[i : i + size]), last))
             last = data[i : i + size]
         plain = b"".join(out)
-        return plain[: max(len(plain.rstrip(b"\0")), len(plain) - size)]
+        return plain if not strip else plain[: max(len(plain.rstrip(b"\0")), len(plain) - size)]
 
 
 def key_from_seed(seed: str) -> tuple[bytes, bytes]:

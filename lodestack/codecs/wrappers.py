@@ -147,7 +147,8 @@ def _text_container(data: bytes, seed: str, allow_space: bool) -> tuple[bytes, i
     if len(cipher) % BLOCK:
         raise FormatError(f"{len(cipher)} bytes are no whole blocks")
     key, iv = key_from_seed(seed)
-    return Rijndael(key, BLOCK).decrypt(iv, cipher), len(cipher)
+    # the zlib stream in it ends by itself, perhaps in zero bytes of its own
+    return Rijndael(key, BLOCK).decrypt(iv, cipher, strip=False), len(cipher)
 
 
 def inspect_text(data: bytes, seed: str, allow_space: bool = True) -> dict:

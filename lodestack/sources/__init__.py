@@ -1 +1 @@
-
+"""Binary files as tables."""

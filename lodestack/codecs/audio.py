@@ -55,7 +55,10 @@ def inspect(data: bytes) -> dict:
 def wav(samples: bytes, channels: int, rate: int, bits: int, tag: int = 1, extra: bytes = b"", byte_rate: int | None = None, align: int | None = None) -> bytes:
     """A container around little-endian samples."""
     align = channels * bits // 8 if align is None else align
-    head = struct.pack("<2H2I2H", tag, channels, rate, rate * align if byte_rate is None else byte_rate, align, bits) + extra
+    try:
+        head = struct.pack("<2H2I2H", tag, channels, rate, rate * align if byte_rate is None else byte_rate, align, bits) + extra
+    except struct.error as error:
+        raise FormatError("the format does not fit its fields") from error
     return struct.pack("<4sI4s4sI", b"RIFF", 4 + 8 + len(head) + 8 + len(samples), b"WAVE", b"fmt ", len(head)) + head + struct.pack("<4sI", b"data", len(samples)) + samples
 
 

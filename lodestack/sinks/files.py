@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..codecs import bundle, flat
+from ..codecs import bundle, chunked, flat
 from ..functions.text import path_problem
 
 
@@ -78,3 +78,8 @@ def pack_flat(df: DataFrame, key: str, order: str = "path", profile: str = "xor"
 def pack_packets(df: DataFrame, key: str, version: int = 4, flags: int = 3) -> DataFrame:
     """(key, data): a packet of the (path, is_part1, part1, data) rows of each key."""
     return _packed(df, key, ["path"], lambda rows: bundle.pack_packet([r | {"data": r["data"] or b""} for r in rows], version, flags))
+
+
+def pack_chunked(df: DataFrame, key: str, codec: str = "zlib") -> DataFrame:
+    """(key, data): a chunked archive of the (path, data) rows of each key, by path; each file is one chunk."""
+    return _packed(df, key, ["path"], lambda rows: chunked.write([(r["path"], r["data"] or b"", codec) for r in rows]))

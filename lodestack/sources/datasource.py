@@ -1,17 +1,20 @@
 """A Python data source for flat archives: ``spark.read.format("flat_archive").load(path)``.
 
-Each file is a partition. Filters on the entry's path (equal, in, starts with)
-and on its size reach the source, which skips payloads that no row needs;
-``withData`` is off unless asked for, so a scan of the directory never touches
-payloads. The file names come from one local or ``pyarrow`` file system.
+Each file is a partition. ``withData`` is off unless asked for, so a scan of
+directories never touches payloads; the options ``prefix`` and ``suffix`` choose
+entries by path before their payloads are read. They are options and not pushed
+filters, since Spark 4.1 keeps the filters pushed for one query with the loaded
+relation and applies them to the next query on it as well. The file names come
+from one local or ``pyarrow`` file system.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 _SCHEMA = "file string, ordinal int, path string, kind string, stored_size long, original_size long"
@@ -32,7 +35,7 @@ class FlatArchives(DataSource):
         return _SCHEMA + (", data binary" if self.options.get("withdata", self.options.get("withData", "false")).lower() == "true" else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema.names)
+        return _Reader(self.options["path"], schema.names, self.options.get("prefix", ""), self.options.get("suffix", ""))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"], self.options.get("profile", "xor"), self.options.get("compression", "none"))
@@ -44,17 +47,8 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, names: list[str]) -> None:
-        self.path, self.names, self.tests = path, names, []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        """Takes what can be told from the directory; the rest stays with Spark."""
-        kinds = (EqualTo, In, StringStartsWith, StringEndsWith, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)
-        for f in filters:
-            if isinstance(f, kinds) and len(f.attribute) == 1 and f.attribute[0] in ("path", "kind", "stored_size", "original_size", "ordinal"):
-                self.tests.append((type(f).__name__, f.attribute[0], getattr(f, "value", None)))
-            else:
-                yield f
+    def __init__(self, path: str, names: list[str], prefix: str, suffix: str) -> None:
+        self.path, self.names, self.prefix, self.suffix = path, names, prefix, suffix
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -66,17 +60,6 @@ class _Reader(DataSourceReader):
         every = store.get_file_info(fs.FileSelector(base, recursive=True))
         return [_File(self.path.rstrip("/") + i.path[len(base.rstrip("/")) :]) for i in every if i.type == fs.FileType.File and not i.base_name.startswith(("_", "."))]
 
-    def _wanted(self, row: dict) -> bool:
-        for kind, name, value in self.tests:
-            x = row[name]
-            ok = {
-                "EqualTo": lambda: x == value, "In": lambda: x in value, "StringStartsWith": lambda: x.startswith(value), "StringEndsWith": lambda: x.endswith(value),
-                "GreaterThan": lambda: x > value, "GreaterThanOrEqual": lambda: x >= value, "LessThan": lambda: x < value, "LessThanOrEqual": lambda: x <= value,
-            }[kind]()
-            if not ok:
-                return False
-        return True
-
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from ..codecs import flat
 
@@ -86,7 +69,7 @@ class _Reader(DataSourceReader):
         index = flat.read_index(data)
         for k, e in enumerate(index.entries):
             row = {"file": partition.value, "ordinal": k, "path": e.path.decode("utf-8", "replace"), "kind": e.kind, "stored_size": e.stored_size, "original_size": e.original_size}
-            if self._wanted(row):
+            if row["path"].startswith(self.prefix) and row["path"].endswith(self.suffix):
                 if "data" in self.names:
                     row["data"] = flat.read_entry(data, index, k)
                 yield tuple(row[n] for n in self.names)
@@ -104,18 +87,15 @@ class _Writer(DataSourceWriter):
         self.path, self.profile, self.compression = path, profile, compression
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
         from ..codecs import flat
 
-        context = TaskContext.get()
         store, base = _store(self.path)
         store.create_dir(base, recursive=True)
         entries = [(flat.Entry(r["path"].encode()), bytes(r["data"] or b"")) for r in rows]
-        temp = f"{base}/_{context.partitionId():05d}.{context.taskAttemptId()}"
-        with store.open_output_stream(temp, compression=None) as out:
+        own = uuid.uuid4().hex  # a repeated attempt has a name of its own; only committed ones are renamed
+        with store.open_output_stream(f"{base}/_{own}", compression=None) as out:
             out.write(flat.write(entries, self.profile, self.compression))
-        return _Part(temp, f"{base}/part-{context.partitionId():05d}.pak")
+        return _Part(f"{base}/_{own}", f"{base}/part-{own}.pak")
 
     def commit(self, messages: list) -> None:
         store, _ = _store(self.path)
@@ -131,4 +111,5 @@ class _Writer(DataSourceWriter):
 
 
 def register(spark) -> None:
+    """Makes ``flat_archive`` known to the session."""
     spark.dataSource.register(FlatArchives)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterable
 from decimal import Decimal
 
-from ..codecs import animation, audio, bundle, delta, flat, keyframes, manifest, particles, tree, wrappers
+from ..codecs import animation, audio, bundle, chunked, delta, flat, keyframes, manifest, particles, soundbank, tree, wrappers
 
 Rows = Iterable[dict]
 #: name -> (schema without the file's path, rows of a file).
@@ -126,6 +126,49 @@ def _container(data: bytes) -> Rows:
     return [wrappers.inspect_container(data)]
 
 
+@table("bank.chunks", "version int, bank_id long, language long, ordinal int, id string, offset long, size long, data binary")
+def _bank_chunks(data: bytes) -> Rows:
+    bank = soundbank.read(data, strict=False)
+    head = {k: bank[k] for k in ("version", "bank_id", "language")}
+    return (head | {"ordinal": k, "size": len(c["data"])} | c for k, c in enumerate(bank["chunks"]))
+
+
+@table("bank.media", "chunk int, entry int, id long, offset long, size long, data binary")
+def _bank_media(data: bytes) -> Rows:
+    return soundbank.media(soundbank.read(data))
+
+
+@table("bank.objects", "version int, chunk int, ordinal int, type_code int, kind string, id long, body binary")
+def _bank_objects(data: bytes) -> Rows:
+    bank = soundbank.read(data)
+    return ({"version": bank["version"]} | o for o in soundbank.objects(bank))
+
+
+@table("bank.fields", "object_id long, kind string, ordinal int, path string, type string, value string")
+def _bank_fields(data: bytes) -> Rows:
+    bank = soundbank.read(data)
+    return ({"object_id": o["id"], "kind": o["kind"]} | f for o in soundbank.objects(bank) for f in soundbank.fields(bank["version"], o))
+
+
+_CHUNKED = "ordinal int, path string, size long, chunks array<int>"
+
+
+@table("chunked.files", _CHUNKED + ", data binary")
+def _chunked_files(data: bytes) -> Rows:
+    index = chunked.read_index(data)
+    return ({"ordinal": k} | f | {"data": chunked.read_file([data], index, k)} for k, f in enumerate(index["files"]))
+
+
+@table("chunked.entries", _CHUNKED)
+def _chunked_entries(data: bytes) -> Rows:
+    return ({"ordinal": k} | f for k, f in enumerate(chunked.read_index(data)["files"]))
+
+
+@table("chunked.chunks", "ordinal int, offset long, compressed_length long, decompressed_length long, flags int, file int, codec string, is_boundary boolean, has_placeholder boolean")
+def _chunks(data: bytes) -> Rows:
+    return ({"ordinal": k, "codec": chunked.codec_of(c["flags"]), "is_boundary": chunked.is_boundary(c), "has_placeholder": chunked.has_placeholder(c)} | c for k, c in enumerate(chunked.read_index(data)["chunks"]))
+
+
 #: name -> f(data, **parameters): one value to another.
 CODECS: dict[str, Callable[..., bytes | str | None]] = {
     "container.unwrap": wrappers.unwrap_container,

@@ -8,7 +8,9 @@ are emitted as they come.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -23,11 +25,21 @@ from .decoders import CODECS, TABLES
 _BATCH = 2000
 
 
-def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, content) of the files under a path."""
+def files(spark: SparkSession, path: str, glob: str | None = None, with_empty: bool = False) -> DataFrame:
+    """(file, content) of the files under a path.
+
+    Spark plans no read of a file without bytes. ``with_empty`` adds those: the
+    names that the listing has and the scan has not.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return reader.load(path).select(F.col("path").alias("file"), "content")
+    loaded = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    found = loaded.select(F.col("path").alias("file"), "content")
+    if with_empty:
+        names = [unquote(re.sub("^file:/+", "file:/", n)) for n in loaded.inputFiles()]
+        if len(names) > loaded.select("path").count():
+            listed = spark.createDataFrame([(n,) for n in names], "file string")
+            found = found.unionByName(listed.join(found.select("file"), "file", "left_anti").withColumn("content", F.lit(b"")))
+    return found
 
 
 def decode(df: DataFrame, table: str, file: str = "file", content: str = "content", strict: bool = False) -> DataFrame:

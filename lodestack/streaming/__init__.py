@@ -1 +1 @@
-
+"""Files and events as streams."""

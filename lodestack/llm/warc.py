@@ -201,7 +201,7 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
     heads = heads.select(archive, "page_id", "digest", F.lit(_NONE).alias("chunk"), F.lit(None).cast("binary").alias("data"), "url", "n_bytes", "refers_to", "copies")
     body = rows.select(archive, "page_id", "digest", "html").mapInArrow(lambda b: _batched(_chunks(b, chunk_bytes)), "archive int, page_id long, digest string, chunk int, data binary")
     both = heads.unionByName(body, allowMissingColumns=True)
-    dealt = both.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "digest", "chunk")
+    dealt = both.repartitionById(archives, "archive").sortWithinPartitions("archive", "page_id", "digest", "chunk")
     return materialise(dealt.mapInArrow(_writer(folder), "path string, records long"), "archives")
 
 

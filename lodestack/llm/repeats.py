@@ -48,9 +48,11 @@ from .shingles import mix
 
 #: Bytes that a repeated string has at least; bytes of an anchor's string.
 LENGTH, GRAM = 200, 64
-HOT_RUNS, HOT_BYTES = 4096, 8 << 20
+HOT_RUNS, HOT_BYTES = 4096, 2 << 20
 #: Bytes hashed at once, for the CPU's cache; bytes whose suffixes are sorted at once, about.
-_SLICE, _SORT = 1 << 18, 4 << 20
+_SLICE, _SORT = 1 << 18, 1 << 20
+#: Bytes of runs that a sorting task gets, about.
+_TASK = 2 << 20
 _RUN = "id long, th long, start int, n int, anchor long, content long, many boolean"
 
 
@@ -310,7 +312,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     data = _cut(texts.select("id", "th", "text"), wanted, length)
     data = materialise(data.join(heavy.hint("merge"), "anchor", "left"), "contents")
     cols = ("anchor", "content", "n", "id", "start", "data")
-    cold = data.where("hot is null").select(*cols).repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sorted_suffixes(length), _BITS)
+    # sorting costs far more than its bytes suggest: a task for every so many bytes, whatever the session's partitions are
+    size = each.agg(F.sum(F.col("n") + length)).first()[0] or 0
+    cold = data.where("hot is null").select(*cols).repartition(max(1, -(-size // _TASK)), "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sorted_suffixes(length), _BITS)
     bits = materialise(cold, "bits")
     hot = data.where("hot")
     if not hot.isEmpty():

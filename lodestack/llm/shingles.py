@@ -7,7 +7,8 @@ import xxhash
 
 #: Words in a shingle.
 WORDS = 5
-_WORD_CACHE = 1_000_000
+#: Words whose hashes a worker remembers: some 60 MB.
+_WORD_CACHE = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -205,6 +205,54 @@ def _etc1_encode(image: np.ndarray) -> bytes:
     return best.astype(">u8").tobytes()
 
 
+def _interleaved(bw: int, bh: int) -> np.ndarray:
+    """Where the block (y, x) lies: the bits of y and x by turns, y's first, as far as the shorter side goes; then the longer side's other bits."""
+    y, x = np.mgrid[:bh, :bw]
+    short = min(bw, bh)
+    depth = short.bit_length() - 1
+    out = np.zeros((bh, bw), np.int64)
+    for k in range(depth):
+        out |= (y >> k & 1) << 2 * k | (x >> k & 1) << 2 * k + 1
+    return out | (x if bw > bh else y) >> depth << 2 * depth
+
+
+def _pvrtc_colours(words: np.ndarray, blue: int) -> np.ndarray:
+    """Colours of 15 or 14 bits and an opacity bit: three colours of five bits, or alpha of three and colours of four; ``blue`` bits are cut from blue."""
+    def field(shift: int, bits: int) -> np.ndarray:
+        return _widened(words >> shift & ((1 << bits) - 1), bits)
+
+    cut = 1 if blue else 0
+    solid = np.stack([field(10 - cut, 5), field(5 - cut, 5), field(0, 5 - cut), np.full_like(words, 255)], -1)
+    clear = np.stack([field(8 - cut, 4), field(4 - cut, 4), field(0, 4 - cut), field(12 - cut, 3)], -1)
+    return np.where((words >> (15 - cut) & 1 == 1)[..., None], solid, clear)
+
+
+def _pvrtc_decode(data: bytes, width: int, height: int) -> np.ndarray:
+    """Two low-resolution images, spread bilinearly and mixed by two bits for each pixel; edges meet their opposite."""
+    bw, bh = width // 4, height // 4
+    word = np.frombuffer(data, "<u8")[_interleaved(bw, bh)]
+    turns = (word & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    punch = (word >> np.uint64(32) & np.uint64(1)).astype(bool)
+    ends = _pvrtc_colours((word >> np.uint64(33) & np.uint64(0x7FFF)).astype(np.int64), 1), _pvrtc_colours((word >> np.uint64(48)).astype(np.int64), 0)
+    out = np.zeros((bh, 4, bw, 4, 4), np.uint8)
+    for py in range(4):
+        for px in range(4):
+            far_y, far_x = (py + 2) % 4, (px + 2) % 4
+            mixed = []
+            for end in ends:
+                total = 0
+                for dy, wy in ((0, 4 - far_y), (1, far_y)):
+                    for dx, wx in ((0, 4 - far_x), (1, far_x)):
+                        total = total + wy * wx * np.roll(end, ((py < 2) - dy, (px < 2) - dx), (0, 1))
+                mixed.append(total)
+            code = turns >> 2 * (4 * py + px) & 3
+            a = np.where(punch, np.array([8, 4, 4, 0])[code], np.array([8, 5, 3, 0])[code])[..., None]
+            value = mixed[0] * a + mixed[1] * (8 - a) >> 7
+            value[..., 3] = np.where(punch & (code == 2), 0, value[..., 3])
+            out[:, py, :, px] = value
+    return out.reshape(height, width, 4)
+
+
 def _palette_decode(data: bytes, pixels: int) -> np.ndarray:
     count = data[0]
     values = np.array([0, 255]) if not count else np.frombuffer(data[1 : 1 + count], np.uint8).astype(np.int64) * 17 & 255
@@ -217,7 +265,7 @@ def _palette_decode(data: bytes, pixels: int) -> np.ndarray:
 
 
 def decode(data: bytes, form: str, width: int, height: int, pitch: int | None = None, order: str = "rgba") -> np.ndarray:
-    """An image as (height, width, 4). PVRTC and ASTC are not decoded."""
+    """An image as (height, width, 4). ASTC is not decoded."""
     want = payload_size(form, width, height, pitch, data)
     if len(data) != want:
         raise FormatError(f"{form}: {len(data)} bytes, {want} expected")
@@ -230,6 +278,11 @@ def decode(data: bytes, form: str, width: int, height: int, pitch: int | None =
     if form in _WORDS:
         size, fields = _fields(form, order)
         return _unpacked(_to_words(raw.reshape(height, -1)[:, : width * size], size), fields)
+    if form.startswith("pvrtc4"):
+        image = _pvrtc_decode(data[: _pvrtc_size(width, height)], width, height)
+        if form == "pvrtc4_a8":
+            image[..., 3] = raw[_pvrtc_size(width, height) :].reshape(height, width)
+        return image
     if not form.startswith("etc1"):
         raise FormatError(f"{form} is not decoded")
     colour = _etc1_size(width, height)

@@ -216,6 +216,24 @@ def test_etc1_known_block():
     assert out[0, 0].tolist() == [255, 255, 255, 255] and out[0, 3].tolist() == [2, 2, 2, 255]
 
 
+def test_pvrtc_flat_and_mixed_blocks():
+    red, blue = 1 << 14 | 31 << 9, 1 << 15 | 31  # opaque: five, five and four bits; five, five and five
+    for code, want in ((0, [255, 0, 0, 255]), (3, [0, 0, 255, 255]), (1, [159, 0, 95, 255])):
+        word = int(f"{code:02b}" * 16, 2) | red << 33 | blue << 48
+        image = texture.decode(struct.pack("<Q", word) * 8, "pvrtc4", 16, 8)
+        assert image.shape == (8, 16, 4) and (image == want).all()
+    punched = int("10" * 16, 2) | 1 << 32 | red << 33 | blue << 48
+    assert texture.decode(struct.pack("<Q", punched), "pvrtc4", 4, 4)[0, 0, 3] == 0
+    assert texture.decode(struct.pack("<Q", punched) + bytes(range(16)), "pvrtc4_a8", 4, 4)[..., 3].reshape(-1).tolist() == list(range(16))
+    with pytest.raises(FormatError):
+        texture.decode(bytes(72), "pvrtc4", 12, 12)
+    # one bright block among dark ones fades by quarters to both sides
+    words = [0 | 1 << 47 | 1 << 63] * 16
+    words[texture._interleaved(4, 4)[1, 1]] = (31 << 9) << 33 | 1 << 47 | 1 << 63
+    row = texture.decode(struct.pack("<16Q", *words), "pvrtc4", 16, 16)[6, :, 0].tolist()
+    assert row == [0, 0, 0, 63, 127, 191, 255, 191, 127, 63, 0, 0, 0, 0, 0, 0]
+
+
 def test_audio():
     samples = (np.sin(np.arange(2000) * 0.01) * 9000).astype("<i2")
     wav = audio.wav(samples.tobytes(), 2, 44100, 16)

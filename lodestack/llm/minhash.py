@@ -168,7 +168,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialise(members.groupBy("node").agg(F.min("doc_id").alias("low_id"), *(F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "bands"))), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("_top")).where("leader <> _top").drop("_top")
-    held = materialise(rows.join(shared.hint("merge"), "bucket"), "buckets")
+    # aggregates are stored before they are joined back: both sides of the join then are plain exchanges, whose large partitions Spark splits
+    held = materialise(rows.join(materialise(shared, "shared").hint("merge"), "bucket"), "buckets")
 
     def signed(df: DataFrame, key: str, as_: str) -> DataFrame:
         return df.join(nodes.select(F.col("node").alias(key), *(F.col(f"s{j}").alias(f"{as_}{j}") for j in range(4))).hint("merge"), key)
@@ -205,10 +206,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # buckets that still hold more than one component
     spread = placed(held.select("bucket", "node"), "node", "comp")
     mixed = spread.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("bucket")
-    spread = materialise(signed(spread.join(mixed.hint("merge"), "bucket"), "node", "x"), "mixed")
+    spread = materialise(signed(spread.join(materialise(mixed, "mixed").hint("merge"), "bucket"), "node", "x"), "spread")
     sizes = spread.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("_m"), F.sum("n").alias("_nodes"))
     sizes = sizes.select("bucket", F.col("_m.comp").alias("_major"), "_nodes")
-    spread = materialise(spread.join(sizes.hint("merge"), "bucket"), "sized")
+    spread = materialise(spread.join(materialise(sizes, "sizes").hint("merge"), "bucket"), "sized")
 
     small = spread.where(F.col("_nodes") <= SMALL)
     ask = small.where("comp <> _major").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), *(F.col(f"x{j}").alias(f"y{j}") for j in range(4)))

@@ -296,10 +296,17 @@ def pak_pack(spark: SparkSession, p: Parameters) -> dict:
     return sink.write_files(sink.pack_flat(_folder(spark, p, "archive.pak"), "archive").select(F.col("archive").alias("path"), "data"), p.need("output"))
 
 
-@command("pak.list", "sizes and paths of flat archives")
-def pak_list(spark: SparkSession, p: Parameters) -> DataFrame:
+@command("pak.list", "sizes and paths of flat archives, each list headed by its archive and count; to files if an output is given")
+def pak_list(spark: SparkSession, p: Parameters):
     rows = decode(files(spark, p.need("input")), "flat.entries", strict=True)
-    return rows.orderBy("file", "ordinal").select(F.concat(fx.human_size(F.col("original_size")), F.lit("\t"), "path").alias("line"))
+    lines = rows.select("file", F.col("ordinal").cast("long").alias("at"), F.concat(fx.human_size(F.col("original_size")), F.lit("\t"), "path").alias("line"))
+    heads = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.lit(-1).cast("long").alias("at"), F.concat(F.lit("# "), "file", F.lit(": "), "n", F.lit(" entries")).alias("line"))
+    both = heads.unionByName(lines)
+    if not p.text("output"):
+        return both.orderBy("file", "at").select("line")
+    texts = both.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    out = texts.select(_name("txt", "_list").alias("path"), F.concat(F.array_join("l.line", "\n"), F.lit("\n")).cast("binary").alias("data"))
+    return sink.write_files(out, p.need("output"))
 
 
 @command("dzip.unpack", "files of chunked archives")

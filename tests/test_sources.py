@@ -70,7 +70,9 @@ def test_archive_commands(spark, folder):
         assert commands.run(spark, unpack, input=str(out), output=str(back)) == {"files": 3, "bytes": 5003}
         assert (back / "x/2.bin").read_bytes() == b"2" * 5000
     lines = [r.line for r in commands.run(spark, "pak.list", input=str(folder.root / "pak.pack")).collect()]
-    assert lines == ["0 B\t3", "3 B\tx/1.txt", "4.9 KB\tx/2.bin"]
+    assert lines[0].endswith("archive.pak: 3 entries") and lines[1:] == ["0 B\t3", "3 B\tx/1.txt", "4.9 KB\tx/2.bin"]
+    commands.run(spark, "pak.list", input=str(folder.root / "pak.pack"), output=str(folder.root / "lists"))
+    assert (folder.root / "lists/archive_list.txt").read_text().splitlines()[1:] == lines[1:]
 
 
 def test_conversion_commands(spark, folder):

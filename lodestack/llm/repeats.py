@@ -300,6 +300,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("_n"), F.min("content").alias("_a"), F.max("content").alias("_b"), F.max("many").alias("_many"), first_of.alias("_first")
     ).where("_n > 1 or _many").select("anchor", F.expr("_a <> _b or _many").alias("mixed"), "_first")
+    # aggregates are stored before they are joined back: both sides of the join then are plain exchanges, whose large partitions Spark splits
+    anchors = materialise(anchors, "anchors")
     held = materialise(found.join(anchors.hint("merge"), "anchor"), "runs")
     none = F.lit(None).cast("binary")
     alike = held.where("not mixed").withColumn("_is_first", F.expr("coalesce(id = _first.id and start = _first.start, false)")).select("id", "th", F.struct("start", "n", none.alias("repeats"), F.when(F.col("_is_first"), F.lit(b"")).alias("later"), (~F.col("_is_first")).alias("all_later")).alias("mark"))
@@ -320,13 +322,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not hot.isEmpty():
         windows = materialise(hot.select(*cols).dropDuplicates(["anchor", "content"]).mapInArrow(_window_rows(length), "h1 long, h2 long, anchor long, content long, n int, k int, id long, place long"), "windows")
         twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("id", "place")).alias("_f")).where("_c > 1")
+        twice = materialise(twice, "repeated-windows")
         flags = windows.join(twice.hint("merge"), ["h1", "h2"]).select("anchor", "content", "n", "k", F.lit(True).alias("repeats"), F.expr("not (id = _f.id and place = _f.place)").alias("later"))
         bits = bits.unionByName(materialise(flags.groupBy("anchor", "content").applyInPandas(_bits_of_windows, _BITS), "hot-bits"))
 
     # a run that several documents have repeats as a whole, whatever its single windows do
     first = each.select("anchor", "content", F.col("id").alias("_id"), F.col("start").alias("_start"), "copies")
-    back = mixed.select("anchor", "content", "id", "th", "start", "n").join(first.hint("merge"), ["anchor", "content"]).join(bits.hint("merge"), ["anchor", "content"], "left")
-    back = back.where("copies > 1 or repeats is not null").withColumn("_is_first", F.expr("id = _id and start = _start"))
+    told = materialise(first.join(bits.hint("merge"), ["anchor", "content"], "left").where("copies > 1 or repeats is not null"), "told")
+    back = mixed.select("anchor", "content", "id", "th", "start", "n").join(told.hint("merge"), ["anchor", "content"]).withColumn("_is_first", F.expr("id = _id and start = _start"))
     marks = back.select("id", "th", F.struct(
         "start", "n",
         F.when(F.col("copies") > 1, none).otherwise(F.col("repeats")).alias("repeats"),

@@ -128,38 +128,50 @@ def _encoded(data: bytes, name: str) -> bytes:
     return {"copy": bytes, "bzip": bz2.compress, "zlib": lambda d: zlib.compress(d, 9), "lzma": lambda d: lzma.compress(d, lzma.FORMAT_ALONE)}[name](data)
 
 
-def write(files: list[tuple[str, bytes, str]], version: int = 0) -> bytes:
-    """One volume of (path, data, codec). Folders are numbered as they first appear, without regard to case; chunks are written by codec rank, then in order."""
+def write(files: list[tuple[str, bytes, str]]) -> bytes:
+    """One volume of (path, data, codec)."""
+    return write_volumes([(*f, 0) for f in files])[0]
+
+
+def write_volumes(files: list[tuple[str, bytes, str, int]], names: list[str] | None = None) -> list[bytes]:
+    """Volumes of (path, data, codec, volume); the first holds the index, ``names`` are those of the others.
+
+    Folders are numbered as they first appear, without regard to case; chunks
+    are written by codec rank, then in order.
+    """
+    names = names or []
     folders: dict[str, tuple[int, str]] = {"": (ROOT, "")}
-    rows, names, seen = [], [], set()
-    for path, data, codec in files:
+    rows, titles, seen = [], [], set()
+    for path, data, codec, volume in files:
         if codec not in dict(RANK) or codec == "dz":
             raise FormatError(f"{codec} is not encoded")
+        if not 0 <= volume <= len(names):
+            raise FormatError(f"no volume {volume}")
         if path.lower() in seen:
             raise FormatError(f"two files have the path {path}")
         seen.add(path.lower())
         folder, _, name = path.replace("\\", "/").rpartition("/")
         folders.setdefault(folder.lower(), (len(folders), folder))
-        rows.append((folders[folder.lower()][0], data, codec))
-        names.append(name)
+        rows.append((folders[folder.lower()][0], data, codec, volume))
+        titles.append(name)
     order = sorted(range(len(rows)), key=lambda k: [n for n, _ in RANK].index(rows[k][2]))
     parts = {k: _encoded(rows[k][1], rows[k][2]) for k in order}
     w = Writer()
-    w.put("I2HB", MAGIC, len(rows), len(folders), version)
-    for name in (*names, *(f for n, f in sorted(folders.values()) if n)):
+    w.put("I2HB", MAGIC, len(rows), len(folders), 0)
+    for name in (*titles, *(f for n, f in sorted(folders.values()) if n)):
         w.raw(name.replace("/", "\\").encode() + b"\0")
-    for k, (folder, _, _) in enumerate(rows):
-        w.put("3H", folder, k, 0xFFFF)
-    w.put("2H", 1, len(rows))
-    at = len(w) + 16 * len(rows)
+    for k, row in enumerate(rows):
+        w.put("3H", row[0], k, 0xFFFF)
+    w.put("2H", 1 + len(names), len(rows))
+    tail = b"".join(n.encode() + b"\0" for n in names)
+    ends = [len(w) + 16 * len(rows) + len(tail)] + [0] * len(names)
     places = {}
     for k in order:
-        places[k] = at
-        at += len(parts[k])
-    for k, (_, data, codec) in enumerate(rows):
+        places[k] = ends[rows[k][3]]
+        ends[rows[k][3]] += len(parts[k])
+    for k, (_, data, codec, volume) in enumerate(rows):
         # the writers of these codecs store the unpacked length
         stored = len(data) if codec in ("zlib", "bzip", "lzma") else len(parts[k])
-        w.put("3I2H", places[k], stored, len(data), dict(RANK)[codec], 0)
-    for k in order:
-        w.raw(parts[k])
-    return w.done()
+        w.put("3I2H", places[k], stored, len(data), dict(RANK)[codec], volume)
+    w.raw(tail)
+    return [(w.done() if v == 0 else b"") + b"".join(parts[k] for k in order if rows[k][3] == v) for v in range(1 + len(names))]

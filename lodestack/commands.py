@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .codecs import bundle, delta, texture
+from .codecs import bundle, chunked, delta, texture
 from .functions import text as fx
 from .sinks import files as sink
 from .sources.tables import codec, decode, files
@@ -309,9 +309,31 @@ def pak_list(spark: SparkSession, p: Parameters):
     return sink.write_files(out, p.need("output"))
 
 
-@command("dzip.unpack", "files of chunked archives")
+@command("dzip.unpack", "files of chunked archives, with the other volumes that lie beside them")
 def dzip_unpack(spark: SparkSession, p: Parameters) -> dict:
-    return _unpack(spark, p, "chunked.files")
+    base = p.need("input").rstrip("/")
+    every = files(spark, base)
+
+    @F.pandas_udf("array<string>")
+    def others(content: pd.Series) -> pd.Series:
+        return pd.Series([chunked.read_index(c)["volumes"] for c in content], dtype=object)
+
+    @F.pandas_udf("array<struct<path: string, data: binary>>")
+    def unpacked(content: pd.Series, volumes: pd.Series) -> pd.Series:
+        out = []
+        for c, v in zip(content, volumes):
+            index, whole = chunked.read_index(c), [c, *(x["content"] for x in v)]
+            out.append([{"path": f["path"], "data": chunked.read_file(whole, index, k)} for k, f in enumerate(index["files"])])
+        return pd.Series(out, dtype=object)
+
+    main = every.where(F.substring("content", 1, 4) == F.lit(chunked.MAGIC.to_bytes(4, "little")))
+    folder = F.regexp_extract("file", "^(.*/)", 1)
+    named = main.select("file", F.posexplode(others("content")).alias("at", "name"), folder.alias("folder")).withColumn("volume", F.concat("folder", "name"))
+    # a main file names its other volumes, which need not be few: they meet it in one exchange by name
+    parts = named.join(every.select(F.col("file").alias("volume"), "content"), "volume").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("volumes"))
+    none = F.array().cast("array<struct<at: int, content: binary>>")
+    rows = main.join(parts, "file", "left").select(F.explode(unpacked("content", F.coalesce("volumes", none))).alias("f")).select("f.*")
+    return sink.write_files(rows, p.need("output"))
 
 
 @command("dzip.pack", "a folder to a chunked archive")

@@ -75,6 +75,15 @@ def test_archive_commands(spark, folder):
     assert (folder.root / "lists/archive_list.txt").read_text().splitlines()[1:] == lines[1:]
 
 
+def test_volumes(spark, folder):
+    main, other = chunked.write_volumes([("a/1", b"one" * 99, "zlib", 0), ("a/2", b"two" * 99, "bzip", 1), ("3", b"", "copy", 1), ("4", b"\0" * 9, "zero", 1)], ["v.d01"])
+    folder("in/v.dz", main)
+    folder("in/v.d01", other)
+    folder("in/w.dz", chunked.write([("w", b"w", "copy")]))
+    assert commands.run(spark, "dzip.unpack", input=str(folder.root / "in"), output=str(folder.root / "o")) == {"files": 5, "bytes": 297 + 297 + 9 + 1}
+    assert (folder.root / "o/a/2").read_bytes() == b"two" * 99 and (folder.root / "o/3").read_bytes() == b""
+
+
 def test_conversion_commands(spark, folder):
     folder("j/t.json", json.dumps({"a": [1, "é"], "b": 1.5}).encode())
     run = lambda id_, a, b, **k: commands.run(spark, id_, input=str(folder.root / a), output=str(folder.root / b), **k)

@@ -163,6 +163,14 @@ def fields(version: int, row: dict) -> list[dict]:
         for k, kind in enumerate(kinds):
             add(f"values[{k}].type", "u8" if version < 128 else "u16", kind)
             add(f"values[{k}].value", "f32", c.f32())
+    elif row["kind"] == "EventAction":
+        packed = c.u8()
+        add("scope_and_mode", "u8", packed)
+        if packed >> 1 & (7 if version < 125 else 3) not in ((0, 1, 2, 4) if version < 125 else (0, 1, 2)):
+            raise FormatError(f"an action's mode in {packed:#x}")
+        for name, kind, form in (("action_type", "u8", "B"), ("target", "u32", "I"), ("u1", "u8", "B")):
+            add(name, kind, c.unpack(form))
+        add("payload", "opaque", c.take(c.left).hex())
     else:
         add("body", "opaque", row["body"].hex())
         return out
@@ -171,6 +179,89 @@ def fields(version: int, row: dict) -> list[dict]:
     return out
 
 
+# chunks of settings, by tables: (name, form, since, until) for a value, (name, count's form, fields, since, until) for a list
+
+_ALL = (0, 1 << 31)
+_CURVE = (("x", "f", *_ALL), ("y", "f", *_ALL), ("curve", "I", *_ALL))
+_ENVIRONMENT = (("enabled", "B", *_ALL), ("mode", "B", *_ALL), ("points", "H", _CURVE, *_ALL))
+_SETTINGS = (
+    ("voice_filter_behavior", "H", 145, _ALL[1]),
+    ("volume_threshold", "f", *_ALL),
+    ("maximum_voice_instances", "H", *_ALL),
+    ("compatibility_value", "H", 128, _ALL[1]),
+    ("state_groups", "I", (("id", "I", *_ALL), ("default_transition_time", "I", *_ALL), ("custom_transitions", "I", (("from", "I", *_ALL), ("to", "I", *_ALL), ("time", "I", *_ALL)), *_ALL)), *_ALL),
+    ("switch_groups", "I", (("id", "I", *_ALL), ("parameter", "I", *_ALL), ("parameter_category", "B", 112, _ALL[1]), ("points", "I", (("x", "f", *_ALL), ("y", "I", *_ALL), ("curve", "I", *_ALL)), *_ALL)), *_ALL),
+    ("game_parameters", "I", (("id", "I", *_ALL), ("default", "f", *_ALL), ("mode", "I", 112, _ALL[1]), ("attack", "f", 112, _ALL[1]), ("release", "f", 112, _ALL[1]), ("built_in", "B", 112, _ALL[1])), *_ALL),
+    ("reserved_1", "I", 120, 140),
+    ("reserved_2", "I", 120, 125),
+    ("u1", "I", (("id", "I", *_ALL), *((f"u{k}", "f", *_ALL) for k in range(1, 7))), 140, _ALL[1]),
+)
+
+
+def _record(c: Cursor, version: int, spec: tuple) -> dict:
+    out: dict = {}
+    for entry in spec:
+        since, until = entry[-2:]
+        if not since <= version < until:
+            continue
+        value = c.unpack(entry[1])
+        if len(entry) == 5:
+            if value > LIMIT_ENTRIES:
+                raise FormatError(f"{entry[0]}: too many")
+            value = [_record(c, version, entry[2]) for _ in range(value)]
+        elif entry[0].startswith("reserved") and value:
+            raise FormatError(f"{entry[0]} is {value}")
+        out[entry[0]] = value
+    return out
+
+
+def _whole(raw: bytes, version: int, spec: tuple) -> dict:
+    c = Cursor(raw)
+    out = _record(c, version, spec)
+    if c.left:
+        raise FormatError(f"{c.left} bytes after the settings")
+    return out
+
+
+def settings(version: int, raw: bytes) -> dict:
+    """State groups, switch groups, game parameters and limits of the settings chunk."""
+    return _whole(raw, version, _SETTINGS)
+
+
+def environments(version: int, raw: bytes) -> dict:
+    """Curves of obstruction and occlusion: volume, low-pass and, from version 112 on, high-pass."""
+    c, out = Cursor(raw), {}
+    for kind in ("obstruction", "occlusion"):
+        for curve in ("volume", "low_pass", "high_pass")[: 3 if version >= 112 else 2]:
+            found = _record(c, version, _ENVIRONMENT)
+            if found["enabled"] > 1:
+                raise FormatError(f"{kind}.{curve}: enabled is {found['enabled']}")
+            out[f"{kind}.{curve}"] = found
+    if c.left:
+        raise FormatError(f"{c.left} bytes after the curves")
+    return out
+
+
+def plugins(version: int, raw: bytes) -> list[dict]:
+    """(id, library) of the plug-ins; there are none before version 118."""
+    if version < 118:
+        raise FormatError(f"version {version} has no plug-ins")
+    c, out = Cursor(raw), []
+    for _ in range(c.u32()):
+        id_ = c.u32()
+        if version >= 140:
+            library = c.c_string()
+        else:
+            library = c.take(c.u32())
+            if not library.endswith(b"\0"):
+                raise FormatError("a library's name does not end in a nul")
+            library = library[:-1]
+        out.append({"id": id_, "library": library.decode("utf-8", "replace")})
+    if c.left:
+        raise FormatError(f"{c.left} bytes after the plug-ins")
+    return out
+
+
 def references(raw: bytes) -> list[dict]:
     """(id, name) of the banks that a reference chunk names."""
     c = Cursor(raw)

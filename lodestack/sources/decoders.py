@@ -150,6 +150,18 @@ def _bank_fields(data: bytes) -> Rows:
     return ({"object_id": o["id"], "kind": o["kind"]} | f for o in soundbank.objects(bank) for f in soundbank.fields(bank["version"], o))
 
 
+#: How the chunks that hold settings are read.
+_SECTIONS: dict[str, Callable[[int, bytes], object]] = {
+    "STMG": soundbank.settings, "ENVS": soundbank.environments, "INIT": soundbank.plugins, "PLAT": soundbank.platform, "STID": lambda version, raw: soundbank.references(raw),
+}
+
+
+@table("bank.sections", "version int, ordinal int, id string, json string")
+def _bank_sections(data: bytes) -> Rows:
+    bank = soundbank.read(data)
+    return ({"version": bank["version"], "ordinal": k, "id": c["id"], "json": json.dumps(_SECTIONS[c["id"]](bank["version"], c["data"]))} for k, c in enumerate(bank["chunks"]) if c["id"] in _SECTIONS)
+
+
 _CHUNKED = "ordinal int, path string, size long, chunks array<int>"
 
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestack.codecs import animation, audio, bundle, delta, flat, keyframes, manifest, particles, texture, tree, wrappers
+from lodestack.codecs import animation, audio, bundle, delta, flat, keyframes, manifest, particles, soundbank, texture, tree, wrappers
 from lodestack.codecs.binary import Cursor, FormatError, Writer
 from lodestack.codecs.rijndael import Rijndael
 
@@ -311,6 +311,47 @@ def test_no_decoder_crashes(name):
             pass
 
 
+@pytest.mark.parametrize("version", soundbank.VERSIONS)
+def test_bank_settings_by_version(version):
+    w = Writer()
+    if version >= 145:
+        w.put("H", 1)
+    w.put("fH", -80.0, 32)
+    if version >= 128:
+        w.put("H", 50)
+    w.put("3I4I", 1, 7, 100, 1, 1, 2, 3)  # one state group with one transition
+    w.put("3I", 1, 8, 9)
+    if version >= 112:
+        w.put("B", 0)
+    w.put("IfII", 1, 0.5, 4, 5)
+    w.put("2If", 1, 10, 2.0)
+    if version >= 112:
+        w.put("I2fB", 0, 1.0, 1.0, 0)
+    if version >= 140:
+        w.put("2I6f", 1, 11, *range(6))
+    else:
+        w.raw(bytes(8 if 120 <= version < 125 else 4 if 125 <= version < 140 else 0))
+    found = soundbank.settings(version, w.done())
+    assert found["state_groups"][0]["custom_transitions"] == [{"from": 1, "to": 2, "time": 3}] and found["switch_groups"][0]["points"] == [{"x": 0.5, "y": 4, "curve": 5}]
+    assert ("attack" in found["game_parameters"][0]) == (version >= 112) and ("u1" in found) == (version >= 140)
+    with pytest.raises(FormatError):
+        soundbank.settings(version, w.done() + b"x")
+    curves = b"\1\0\1\0" + struct.pack("<2fI", 1.0, 2.0, 4)
+    assert len(soundbank.environments(version, curves * (6 if version >= 112 else 4))) == (6 if version >= 112 else 4)
+    action = {"kind": "EventAction", "body": b"\x03\x04" + struct.pack("<IB", 77, 0) + b"pay"}
+    assert {f["path"]: f["value"] for f in soundbank.fields(version, action)}["target"] == "77"
+
+
+def test_bank_plugins():
+    assert soundbank.plugins(140, struct.pack("<2I", 1, 5) + b"lib\0") == [{"id": 5, "library": "lib"}]
+    assert soundbank.plugins(118, struct.pack("<3I", 1, 5, 4) + b"lib\0") == [{"id": 5, "library": "lib"}]
+    assert soundbank.platform(150, b"Windows\0") == soundbank.platform(118, struct.pack("<I", 8) + b"Windows\0") == soundbank.platform(113, struct.pack("<I", 7) + b"Windows") == "Windows"
+    assert soundbank.references(struct.pack("<3IB", 1, 1, 9, 3) + b"abc") == [{"id": 9, "name": "abc"}]
+    for bad in ((112, b""), (118, struct.pack("<3I", 1, 5, 3) + b"lib")):
+        with pytest.raises(FormatError):
+            soundbank.plugins(*bad)
+
+
 def test_cursor_and_writer():
     w = Writer()
     for n in (0, 127, 128, 1 << 40):

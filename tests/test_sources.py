@@ -193,6 +193,12 @@ def test_bank_command(spark, folder):
     assert {(r.object_id, r.path, r.value) for r in got} == {(5, "action_count", "1"), (5, "actions[0]", "2"), (6, "body", "7a7a")}
 
 
+def test_bank_sections(spark):
+    bank = {"version": 140, "bank_id": 7, "language": 0, "expand": b"", "chunks": [{"id": "PLAT", "offset": 0, "data": b"Windows\0"}, {"id": "XXXX", "offset": 0, "data": b""}]}
+    df = spark.createDataFrame([("f", soundbank.write(bank))], "file string, content binary")
+    assert [(r.ordinal, r.id, r.json) for r in tables.decode(df, "bank.sections", strict=True).collect()] == [(0, "PLAT", '"Windows"')]
+
+
 def test_bank_kinds_and_media():
     assert soundbank.kind_of(125, 18) == "Effect" and soundbank.kind_of(128, 18) == "AuxiliaryAudioBus" and soundbank.kind_of(128, 22) == "Unknown" and soundbank.kind_of(132, 22) == "TimeModulator"
     for version in soundbank.VERSIONS:

@@ -7,16 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 Cols = Sequence[str]
 
 
 def first_seen_dictionary(df: DataFrame, key: Column, ordinal: str, name: str = "key", code: str = "code", root: str | None = None) -> DataFrame:
-    """Codes for the distinct keys in order of first appearance; a ``root`` has code 0 whether it appears or not. The keys are aggregated before they are numbered."""
+    """Codes for the distinct keys in order of first appearance; a ``root`` has code 0 whether it appears or not. The keys are aggregated first, then numbered in range partitions, however many there are."""
     seen = df.select(key.alias(name), F.col(ordinal).alias("_at")).groupBy(name).agg(F.min("_at").alias("_at"))
     shift = 0
     if root is not None:
         seen, shift = seen.where(F.col(name) != root), 1
-    coded = seen.withColumn(code, (F.row_number().over(Window.orderBy("_at", name)) - 1 + shift).cast("long")).select(name, code)
+    coded = ordered.dense_index(seen, ["_at", name], code).select(name, (F.col(code) + shift).alias(code))
     if root is not None:
         coded = coded.unionByName(df.sparkSession.range(1).select(F.lit(root).alias(name), F.lit(0).cast("long").alias(code)))
     return coded

@@ -154,6 +154,39 @@ def extract_aac(data: bytes) -> bytes:
     return data[info["data_offset"] : info["data_offset"] + info["data_size"]]
 
 
+#: Sample rates by their index in an ADTS header.
+ADTS_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+
+
+def probe_adts(data: bytes) -> dict:
+    """channels, sample_rate and byte_rate of an AAC stream in ADTS frames, from the headers of all its frames."""
+    at = samples = 0
+    first = None
+    while at + 7 <= len(data):
+        if data[at] != 0xFF or data[at + 1] & 0xF6 != 0xF0:
+            raise FormatError(f"no frame at {at}")
+        rate, channels = data[at + 2] >> 2 & 15, (data[at + 2] & 1) << 2 | data[at + 3] >> 6
+        size = (data[at + 3] & 3) << 11 | data[at + 4] << 3 | data[at + 5] >> 5
+        if rate >= len(ADTS_RATES) or size < 7:
+            raise FormatError(f"a frame at {at} that can't be")
+        first = first or (channels, ADTS_RATES[rate])
+        samples += 1024 * ((data[at + 6] & 3) + 1)
+        at += size
+    if not first or not first[0]:
+        raise FormatError("no frames, or no channels")
+    return {"channels": first[0], "sample_rate": first[1], "byte_rate": -(-len(data) * first[1] // samples)}
+
+
+def wrap_aac(data: bytes, channels: int | None = None, sample_rate: int | None = None, byte_rate: int | None = None) -> bytes:
+    """A container around an AAC stream as it stands. What is not given is read from ADTS headers."""
+    if channels is None or sample_rate is None:
+        found = probe_adts(data)
+        channels, sample_rate, byte_rate = channels or found["channels"], sample_rate or found["sample_rate"], byte_rate or found["byte_rate"]
+    if channels < 1 or sample_rate < 1:
+        raise FormatError("no channels or no sample rate")
+    return wav(data, channels, sample_rate, 0, 0xAAC0, bytes(16), byte_rate or 16_000, 0)
+
+
 def encode(data: bytes, codec: str) -> bytes:
     """From WAV, told by its first four bytes, as pcm or adpcm."""
     if data[:4] not in (b"RIFF", b"RIFX"):

@@ -207,6 +207,7 @@ CODECS: dict[str, Callable[..., bytes | str | None]] = {
     "audio.to_wav": audio.decode,
     "audio.from_wav": lambda data, codec="pcm": audio.encode(data, codec),
     "audio.aac": audio.extract_aac,
+    "audio.from_aac": audio.wrap_aac,
 }
 
 

@@ -244,6 +244,13 @@ def test_audio():
     big = b"RIFX" + struct.pack(">I", 38) + b"WAVEfmt " + struct.pack(">I2H2I2H", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack(">I", 2) + struct.pack(">h", 258)
     assert audio.decode(big)[44:] == struct.pack("<h", 258)
     assert audio.inspect(wav[:-4])["truncated"]
+    frame = lambda n: bytes([0xFF, 0xF1, 4 << 2 | 0, 2 << 6 | (n + 7) >> 11, (n + 7) >> 3 & 255, ((n + 7) & 7) << 5, 0]) + bytes(n)
+    stream = frame(100) + frame(300)
+    assert audio.probe_adts(stream) == {"channels": 2, "sample_rate": 44100, "byte_rate": -(-len(stream) * 44100 // 2048)}
+    wrapped = audio.wrap_aac(stream)
+    assert audio.extract_aac(wrapped) == stream and audio.inspect(wrapped)["codec"] == "aac"
+    with pytest.raises(FormatError):
+        audio.wrap_aac(b"not a frame")
     for bad in (b"", b"RIFF", wav[:20], wav.replace(b"data", b"dat_")):
         with pytest.raises(FormatError):
             audio.inspect(bad)

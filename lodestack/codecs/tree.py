@@ -522,7 +522,7 @@ def from_json(text: str) -> Value:
                 except FormatError:
                     return "str", x
                 return NULL if found["kind"] == "null" else ("rtid", found)
-            if m := re.fullmatch(r'\$BINARY\("([0-9A-Fa-f]*)", *(\d+)\)', x):
+            if (m := re.fullmatch(r'\$BINARY\("([0-9A-Fa-f]*)",\s*(\d+)\)', x)) and len(m[1]) == 2 * int(m[2]):
                 return "bin", _from_hex(m[1])
             return "str", x
         if isinstance(x, _Entries):

@@ -21,6 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select("u", "v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    if large:  # a centre has many neighbours here: with the minima stored, both sides of the join are plain exchanges, which Spark can split
+        low = materialise(low, "minima")
     hung = both.join(low.hint("merge"), "u")
     if large:
         out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -310,6 +310,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = mixed.groupBy("anchor", "content").agg(F.min(F.struct("id", "start", "th", "n")).alias("_r"), F.count(F.lit(1)).alias("copies"))
     each = materialise(each.select("anchor", "content", F.col("_r.id").alias("id"), F.col("_r.th").alias("th"), F.col("_r.start").alias("start"), F.col("_r.n").alias("n"), "copies"), "different")
     heavy = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_runs"), F.sum(F.col("n") + length).alias("_bytes")).where((F.col("_runs") > HOT_RUNS) | (F.col("_bytes") > HOT_BYTES)).select("anchor", F.lit(True).alias("hot"))
+    heavy = materialise(heavy, "heavy")
     wanted = each.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "content", "start", "n")).alias("want"))
     data = _cut(texts.select("id", "th", "text"), wanted, length)
     data = materialise(data.join(heavy.hint("merge"), "anchor", "left"), "contents")

@@ -244,7 +244,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         comp = materialise(components(links.unionByName(bonds), "a", "b"), "components")
         low = placed(nodes.select("node", "low_id"), "node", "comp")
     least = low.groupBy("comp").agg(F.min("low_id").alias("_low"))
-    answer = low.join(least.hint("merge"), "comp").select("node", "_low")
+    answer = low.join(materialise(least, "least").hint("merge"), "comp").select("node", "_low")
     return (
         sig.select("doc_id", "n_shingles", "node")
         .join(answer.hint("merge"), "node", "left")

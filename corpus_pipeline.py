@@ -24,7 +24,7 @@ STAGES = [
     ("exact dedup", lambda spark, docs, sf_dir: exact_dedup(docs)),
     ("near dedup", lambda spark, docs, sf_dir: near_dedup(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixed(docs, WEIGHTS)),
-    ("packing", lambda spark, docs, sf_dir: packed_documents(docs)),
+    ("packing", lambda spark, docs, sf_dir: packed_documents(docs, weights=WEIGHTS)),
 ]
 
 #: Tokens and best-fit packing have no SQL; tests hold the result against brute force.

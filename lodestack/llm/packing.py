@@ -12,6 +12,13 @@ when the bins together meet the bound of all lengths, one partition is left,
 or after ``ROUNDS``; a task never packs more than about ``ITEMS``. Only (id,
 piece, length) rows move; texts are read once.
 
+With target weights the sequences follow the mix of the sources: each
+document has its place in the order of ``mixing.place``, a partition is a
+range of places with about ``WINDOW`` pieces instead of a share by a hash, in
+every round, the pieces of a sequence lie by their places, and sequence ids
+rise with the place of the first piece. So the documents of a sequence come
+from one stretch of the mix, and all sequences, read by id, run through it.
+
 Defined cases: a null text is empty; an empty text is the one id 0; rows
 without an id or with an id given twice are packed as rows of their own; an
 empty table gives an empty result; columns other than id and text are not read.
@@ -23,7 +30,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -32,16 +39,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .mixing import place
 from .runtime import materialise, text_of
 
 #: Ids in a sequence.
 CAPACITY = 2048
 #: Pieces that a task packs at once, about.
 ITEMS = 40_000
+#: Pieces of a range of places, about, and the most cells of places whose pieces are counted to cut the ranges.
+WINDOW, CELLS = 8192, 16_384
 ROUNDS = 5
 #: Parts of which a worker remembers the ids: some 80 MB.
 _CACHE = 350_000
 _ROUND_BITS, _PART_BITS = 58, 30
+#: A text has fewer pieces than that many bits can number.
+_PIECE_BITS = 28
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -92,10 +104,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, parts))
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): a row for each piece; ids as little-endian unsigned 32-bit values."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, source_col: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, source, doc]): a row for each piece; ids as little-endian unsigned 32-bit values, doc a number of the row."""
     path = path or tokenizer_path()
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", source string, doc long" * bool(source_col)
+    more = [F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("doc")] if source_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
@@ -109,9 +122,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     for c, x in zip(cols, (piece, start, len(part) // 4, zlib.crc32(part), part)):
                         c.append(x)
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], names=[x.split()[0] for x in schema.split(", ")])
+            own = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), *(pa.array(c, t) for c, t in zip(cols, types)), *(c.take(own) for c in batch.columns[2:])], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *more).mapInArrow(run, schema)
 
 
 def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -155,14 +169,24 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, n
 
 
-def _packer(round_: int, last: bool, capacity: int):
+def _packer(round_: int, last: bool, capacity: int, mixed: bool = False):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if mixed:
+            pdf = pdf.sort_values(["position", "piece"])
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, lengths, n)
         certified = n <= lower_bound(lengths, capacity)
         done = fill >= (0 if last else capacity - capacity // 32 if certified else capacity)
-        pdf["sequence_id"] = (round_ << _ROUND_BITS) + (pdf["_part"].to_numpy(np.int64) << _PART_BITS) + bins
+        if mixed:  # the pieces of a bin in their order, which is that of the rows here
+            order = np.argsort(bins, kind="stable")
+            first = np.concatenate([[0], np.cumsum(np.bincount(bins, minlength=n))[:-1]])
+            before = np.cumsum(lengths[order]) - lengths[order]
+            offsets[order] = before - before[first][bins[order]]
+            own = (pdf["position"].to_numpy(np.int64) << _PIECE_BITS) + pdf["piece"].to_numpy(np.int64)
+            pdf["sequence_id"] = own[order[first]][bins]
+        else:
+            pdf["sequence_id"] = (round_ << _ROUND_BITS) + (pdf["_part"].to_numpy(np.int64) << _PART_BITS) + bins
         pdf["offset"] = offsets
         pdf["_done"] = done[bins]
         return pdf
@@ -170,8 +194,25 @@ def _packer(round_: int, last: bool, capacity: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS) -> DataFrame:
-    """``items`` (with a column length, 1 to ``capacity``; all columns stay) with sequence_id and offset."""
+def _ranges(todo: DataFrame, per_task: int) -> tuple[DataFrame, int]:
+    """``todo`` with _part, a number for each range of positions with about ``per_task`` rows, and how many there are."""
+    width = (todo.agg(F.max("position")).first()[0] or 0) // CELLS + 1
+    cell = F.expr(f"position div {width}")
+    counts = dict(todo.groupBy(cell.alias("_cell")).count().collect())  # a row for each cell at most
+    parts, before = [], 0
+    for k in sorted(counts):
+        parts.append((k, before // per_task))
+        before += counts[k]
+    number = {p: i for i, p in enumerate(sorted({p for _, p in parts}))}
+    table = todo.sparkSession.createDataFrame([(k, number[p]) for k, p in parts], "_cell long, _part long")
+    return todo.withColumn("_cell", cell).join(F.broadcast(table), "_cell").drop("_cell"), max(1, len(number))  # at most CELLS rows
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS, mixed: bool = False) -> DataFrame:
+    """``items`` (with a column length, 1 to ``capacity``; all columns stay) with sequence_id and offset.
+
+    mixed: by the columns position, which no two documents share, and piece.
+    """
     fields = [f for f in items.schema if f.name not in ("sequence_id", "offset")]
     todo = materialise(items.select([f.name for f in fields]).withColumn("_item", F.monotonically_increasing_id()), "pieces")
     keep = [f.name for f in fields] + ["sequence_id", "offset"]
@@ -185,11 +226,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS) -> D
         n = todo.count()
         if not n and done:
             break
-        parts = -(-n // per_task) or 1
+        if mixed:
+            dealt, parts = _ranges(todo, per_task)
+        else:
+            parts = -(-n // per_task) or 1
+            dealt = todo.withColumn("_part", F.expr(f"pmod(xxhash64(_item, {round_}), {parts})"))
         last = parts == 1 or round_ == ROUNDS - 1
-        dealt = todo.withColumn("_part", F.expr(f"pmod(xxhash64(_item, {round_}), {parts})"))
         schema = T.StructType(dealt.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_done", T.BooleanType())])
-        packed = materialise(dealt.groupBy("_part").applyInPandas(_packer(round_, last, capacity), schema), f"packed-{round_}")
+        packed = materialise(dealt.groupBy("_part").applyInPandas(_packer(round_, last, capacity, mixed), schema), f"packed-{round_}")
         # a bin has one document at its start
         now = dict(packed.where("offset = 0").groupBy("_done").count().collect())
         if last or bins + sum(now.values()) <= bound:
@@ -204,6 +248,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS) -> D
     return out
 
 
-def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, per_task: int = ITEMS) -> DataFrame:
-    """For each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(pieces(docs, id_col, text_col, path, capacity), capacity, per_task)
+def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, per_task: int | None = None, weights: Mapping[str, int] | None = None, source_col: str = "source") -> DataFrame:
+    """For each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. weights: the sequences follow the mix of the sources by them."""
+    if weights is None:
+        return pack(pieces(docs, id_col, text_col, path, capacity), capacity, per_task or ITEMS)
+    found = materialise(pieces(docs, id_col, text_col, path, capacity, source_col=source_col), "pieces")
+    placed = place(found.where("piece = 0").select("doc", "doc_id", "source"), weights).select("row.doc", "position")
+    items = found.join(placed.hint("merge"), "doc").drop("doc", "source")
+    return pack(items, capacity, per_task or WINDOW, True).drop("position")

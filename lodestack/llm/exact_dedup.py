@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import distinct_rows, materialise, text_of
+from .runtime import first_rows, materialise, text_of
 
 #: Runs merged at once in a round.
 FAN_IN = 16
@@ -123,20 +123,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without later copies: of equal texts the smallest id stays.
 
-    Only ids move: the rows that go are anti-joined by id. A row without an id
-    goes if a row with an id has its text, or another row without one (of
-    those one stays).
+    Only ids move: the rows that go are anti-joined by id. Where an id is given
+    twice its rows are judged by id and text: each of its texts stays or goes
+    by itself, and of rows that repeat both one stays (``first_rows``). A row
+    without an id goes if a row with an id has its text, or another row without
+    one (of those one stays, likewise).
     """
     groups = materialise(exact_groups(docs, id_col, text_col), "exact-groups")
-    gone = groups.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    # an id that is given twice, with different texts, stays if one of its texts does
-    stay = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    named = docs.where(F.col(id_col).isNotNull()).join(gone.join(stay, "_gone", "left_anti").hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
-    out = distinct_rows(named, id_col)
+    known = groups.where("doc_id is not null")
+    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_gone"))
+    twice = materialise(twice, "repeated-ids")
+    again = not twice.isEmpty()
+    gone = known.where("not kept").select(F.col("doc_id").alias("_gone"))
+    named = docs.where(F.col(id_col).isNotNull())
+    out = named.join((gone.unionByName(twice) if again else gone).distinct().hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
+    digest = F.sha2(normalised(text_col), 256)
+    if again:
+        stay = known.where("kept").join(twice.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_sha"))
+        rows = named.join(twice.hint("merge"), F.col(id_col) == F.col("_gone"), "left_semi").withColumn("_sha", digest)
+        rows = rows.join(stay.distinct().hint("merge"), (F.col(id_col) == F.col("_kept")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+        out = out.unionByName(first_rows(rows, id_col, "_sha").select(docs.columns))
     bare = docs.where(F.col(id_col).isNull())
     if bare.isEmpty():
         return out
-    digest = F.sha2(normalised(text_col), 256)
     nameless = groups.where("kept and doc_id is null").select(F.col("text_sha256").alias("_sha")).distinct()
-    bare = bare.withColumn("_sha", digest).join(nameless, "_sha", "left_semi").dropDuplicates(["_sha"]).drop("_sha")
+    bare = first_rows(bare.withColumn("_sha", digest).join(nameless, "_sha", "left_semi"), "_sha")
     return out.unionByName(bare.select(docs.columns))

@@ -27,7 +27,8 @@ probability of 5 in a million.
 Defined cases: a null text is empty; a text without words has no set, is
 linked with nothing and stays; a row without an id is linked with nothing,
 has no component and stays; rows that repeat an id are one document with the
-union of their links; an empty table gives an empty result.
+union of their links to ``near_groups``, while ``near_dedup`` judges each of their
+texts by itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import distinct_rows, materialise, text_of
+from .runtime import first_rows, materialise, text_of
 from .shingles import Shingler, mix
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -160,8 +161,8 @@ def _tile_links(threshold: int):
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """For each row: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id)."""
+def _answers(docs: DataFrame, id_col: str, text_col: str, threshold: int, by_id: bool) -> DataFrame:
+    """For each row: doc_id, n_shingles, node, comp and _low (the component's smallest id). by_id: an id joins the components of all its texts."""
     sig = materialise(signatures(docs, id_col, text_col), "signatures")
     members = sig.where("node is not null and doc_id is not null")
     # one row for each different set: the first of equal values is any of them
@@ -237,24 +238,47 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low = placed(nodes.select("node", "low_id"), "node", "comp")
     # an id that is given twice joins the components of its texts
     twice = members.groupBy("doc_id").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("doc_id")
-    if not twice.isEmpty():
+    if by_id and not twice.isEmpty():
         same = members.join(twice, "doc_id").select("doc_id", "node").distinct()
         first = same.groupBy("doc_id").agg(F.min("node").alias("a"))
         bonds = same.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
         comp = materialise(components(links.unionByName(bonds), "a", "b"), "components")
         low = placed(nodes.select("node", "low_id"), "node", "comp")
     least = low.groupBy("comp").agg(F.min("low_id").alias("_low"))
-    answer = low.join(materialise(least, "least").hint("merge"), "comp").select("node", "_low")
+    answer = low.join(materialise(least, "least").hint("merge"), "comp").select("node", "comp", "_low")
+    return sig.select("doc_id", "n_shingles", "node").join(answer.hint("merge"), "node", "left")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """For each row: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id)."""
     return (
-        sig.select("doc_id", "n_shingles", "node")
-        .join(answer.hint("merge"), "node", "left")
+        _answers(docs, id_col, text_col, threshold, True)
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("_low", "doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each group: the smallest id. Texts without words stay."""
-    gone = near_groups(docs, id_col, text_col, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
-    return distinct_rows(kept, id_col)
+    """The rows of ``docs``, all columns, with one document of each group: the smallest id. Texts without words stay.
+
+    Where an id is given twice each of its rows is judged by its own text: a
+    group that has the id twice keeps one of the rows, and of rows without
+    words that repeat an id and a text one stays (``first_rows``).
+    """
+    rows = materialise(_answers(docs, id_col, text_col, threshold, False).where("doc_id is not null"), "near")
+    twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_gone"))
+    twice = materialise(twice, "repeated-ids")
+    again = not twice.isEmpty()
+    gone = rows.where("_low <> doc_id").select(F.col("doc_id").alias("_gone"))
+    gone = (gone.unionByName(twice) if again else gone).distinct()
+    out = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
+    if not again:
+        return out
+    # the nodes of these few rows are found anew, with a number of the row in place of its id
+    held = materialise(docs.join(twice.hint("merge"), F.col(id_col) == F.col("_gone"), "left_semi").withColumn("_row", F.monotonically_increasing_id()), "repeated")
+    nodes = signatures(held, "_row", text_col).select(F.col("doc_id").alias("_row"), F.col("node").alias("_node"))
+    groups = rows.where("node is not null").select(F.col("node").alias("_node"), F.col("comp").alias("_comp"), "_low").distinct()
+    found = held.join(nodes.hint("merge"), "_row").join(groups.hint("merge"), "_node", "left")
+    found = found.where(F.col("_low").isNull() | (F.col("_low") == F.col(id_col)))
+    found = found.withColumn("_bare", F.when(F.col("_node").isNull(), text_of(text_col))).drop("_row", "_low")
+    return out.unionByName(first_rows(found, id_col, "_comp", "_bare").select(docs.columns))

@@ -66,15 +66,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def distinct_rows(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with one row for each value of ``key``; rows without a key stay.
+def first_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with one row for each combination of ``keys`` (null is a value): the one whose columns, written as JSON, come first.
 
-    Which of the rows that repeat a key stays is not fixed. Rows move only if
-    some key does repeat: the search for those moves keys and counts alone.
+    Rows that are written alike are alike, so a task that runs again keeps the
+    same row.
     """
-    twice = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
-    if twice.isEmpty():
-        return df
-    once = df.join(twice, key, "left_anti")
-    again = df.join(twice, key, "left_semi").dropDuplicates([key])
-    return once.select(df.columns).unionByName(again.select(df.columns))
+    row = F.struct(*(df[c] for c in df.columns))
+    first = F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"}))
+    return df.groupBy(*keys).agg(first.alias("_first")).select("_first.*")

@@ -84,7 +84,7 @@ class Text:
     @cached_property
     def n_shouted(self) -> int:
         """Words that end in two exclamation marks."""
-        return self.raw.count(b"!! ") + self.raw.count(b"!!\n") + self.raw.endswith(b"!!")
+        return sum(w.endswith(b"!!") for w in self.words) if b"!!" in self.raw else 0
 
 
 #: The rules by name; each is true for a document that must go. The first two are the base rules.

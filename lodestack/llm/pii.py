@@ -18,11 +18,14 @@ Added kinds:
 
 - login: the user and password that a URL carries before its host;
 - iban: country letters and check digits with a right remainder by 97, after
-  the word IBAN;
+  the word IBAN; of the blanks and other ends where the account may stop, the
+  one that gives its country's length is tried first, then from long to short;
 - account: after a word for an account or identifier, a run of 6 to 18 digits;
 - secret: after a word for a token, key or password and ``=`` or ``:``, a value of
   16 characters or more with letters and digits.
 
+Words count in any mixture of capitals and small letters.
+
 Spans are code points, end exclusive. Defined cases: a null or empty text has
 no spans; repeated rows get the same answer; an empty table gives an empty
 result; columns other than the id and the text are not read.
@@ -31,6 +34,7 @@ result; columns other than the id and the text are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -52,6 +56,16 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"([A-Za-z0-9._~%+-]+:[^\s@/:\"'<>]+)@")
 _IBAN = re.compile(r"[\s:#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+#: The characters of an account number by country.
+_IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 _ACCOUNT = re.compile(r"(?:\x20(?:no|nr|number|id)\b\.?)?\s{0,2}[:#=]?\s{0,2}([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9])", re.I)
 _SECRET = re.compile(r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/.-]{16,})")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -61,7 +75,7 @@ _SECRET_CUES = ("token", "api_key", "apikey", "secret", "password", "passwd", "a
 
 
 def _cases(word: str) -> set[str]:
-    return {word, word.upper(), word.capitalize()}
+    return set(map("".join, itertools.product(*({c, c.upper()} for c in word))))
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -89,6 +103,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban(run: str) -> int:
+    """How many characters of ``run``, blanks included, are an account number; 0 if none."""
+    ends = []
+    for end in (i for i in range(len(run), 0, -1) if i == len(run) or run[i] == " "):
+        code = run[:end].replace(" ", "")
+        if 15 <= len(code) <= 34:
+            ends.append((len(code) != _IBAN_LENGTHS.get(code[:2]), -end, code))
+    for _, end, code in sorted(ends):
+        if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return -end
+    return 0
+
+
 def _left(text: str, end: int, low: int, chars: str) -> int:
     """Where the run of ``chars`` that ends at ``end`` begins, not before ``low``; looks back in steps, never over the whole text."""
     at = end
@@ -140,10 +167,8 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                 span = m.span(1)
         elif kind == "iban":
             m = _IBAN.match(text, last + 1)
-            if m:
-                code = m.group(1).replace(" ", "")
-                if 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
-                    span = m.span(1)
+            if m and (n := _iban(m.group(1))):
+                span = (m.start(1), m.start(1) + n)
         else:
             before = text[at - 1] if at else " "
             m = None if before.isalnum() else (_ACCOUNT if kind == "account" else _SECRET).match(text, last + 1)

@@ -8,8 +8,9 @@ them into a score between 0 and 1.
 
 What is fitted is bounded: of each label at most ``SAMPLE`` rows, the smallest
 by a digest of their id, of which a share of ``DICTIONARY_SHARE`` feeds the
-dictionaries, with an excerpt of at most ``EXCERPT`` characters each and
-``DICTIONARY_BYTES`` together. Everything that is scored is scored whole.
+dictionaries: whole texts in the order of the digest, until a dictionary has
+``DICTIONARY_BYTES`` (the text that reaches them is the last one, and whole too).
+Everything that is fitted on or scored is taken whole.
 Rows with crc32(id as text) mod 5 = 0 are held out and never fitted on.
 
 Defined cases: a null text is empty and is scored as such; rows without an id
@@ -21,7 +22,7 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_of
+from .runtime import materialise, text_of
 
 #: Labelled rows of each class that are fitted on, at most.
 SAMPLE = 6000
 DICTIONARY_SHARE = 0.6
-EXCERPT = 16_384
 DICTIONARY_BYTES = 1 << 20
 LEVEL = 3
 #: From this score on a text is predicted good.
@@ -92,6 +92,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _filled(texts: Iterable[str]) -> bytes:
+    """Whole texts up to the one with which ``DICTIONARY_BYTES`` are reached."""
+    out = bytearray()
+    for text in texts:
+        if len(out) >= DICTIONARY_BYTES:
+            break
+        out += text.encode()
+    return bytes(out)
+
+
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
@@ -108,12 +118,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = texts.join(F.broadcast(picked), "_id")  # at most 2 * SAMPLE rows of an id, a label and a digest
     # the digest's last two bytes deal rows to the dictionaries and the curve
     found = found.withColumn("_first", F.conv(F.substring("_at", -4, 4), 16, 10).cast("int") < int(DICTIONARY_SHARE * 65536))
-    feed = found.where("_first").select("_at", "_id", "_y", F.substring("_text", 1, EXCERPT).alias("_text")).toPandas().sort_values(["_at", "_id", "_text"])
-    content = []
+    found = materialise(found, "labelled")
+    # the sizes tell how far the dictionaries reach; only those texts come to the driver
+    sizes = found.where("_first").select("_at", "_y", F.octet_length("_text").alias("_n")).toPandas().sort_values(["_at", "_n"])
+    reach = F.lit(False)
     for y in (0, 1):
-        raw = [t.encode() for t in feed.loc[feed["_y"] == y, "_text"]]
-        part = max(200, DICTIONARY_BYTES // max(1, len(raw)))
-        content.append(b"".join(t[:part] for t in raw)[:DICTIONARY_BYTES])
+        own = sizes[sizes["_y"] == y]
+        used = own[own["_n"].cumsum() - own["_n"] < DICTIONARY_BYTES]
+        if len(used):
+            reach = reach | ((F.col("_y") == y) & (F.col("_at") <= used["_at"].iloc[-1]))
+    feed = found.where(F.col("_first") & reach).select("_at", "_id", "_y", "_text").toPandas().sort_values(["_at", "_id", "_text"])
+    content = [_filled(feed.loc[feed["_y"] == y, "_text"]) for y in (0, 1)]
     if min(map(len, content)) < 8:
         return {"constant": total[1] / (total[0] + total[1])}
     model = {"bad": content[0], "good": content[1]}

@@ -8,6 +8,7 @@ payloads; exactly one must fit.
 from __future__ import annotations
 
 import io
+import json
 import itertools
 import zipfile
 import zlib
@@ -190,6 +191,28 @@ def _zip_index(data: bytes, limits: Limits) -> Index:
     return Index("zip", "zlib" if zipfile.ZIP_DEFLATED in methods else "none", "zip", separator_of(e.path for e in entries), entries)
 
 
+def detached(index: Index) -> str:
+    """An index as text, to be kept without its archive."""
+    return json.dumps({k: getattr(index, k) for k in ("profile", "compression", "layout", "separator")} | {"entries": [[e.path.decode("latin-1"), e.kind, e.time, e.stored_size, e.original_size, e.offset] for e in index.entries]})
+
+
+def attached(text: str, data: bytes) -> Index:
+    """A kept index for these bytes; fails where an entry does not lie in them."""
+    held = json.loads(text)
+    entries = [Entry(path.encode("latin-1"), *rest) for path, *rest in held.pop("entries")]
+    if held["profile"] != "zip" and any(e.offset + e.stored_size > len(data) for e in entries):
+        raise FormatError("an entry lies behind the archive's end")
+    return Index(**held, entries=entries)
+
+
+def sub_range(data: bytes, start: int, length: int | None = None) -> bytes:
+    """The archive that lies at ``start`` of a larger file."""
+    end = len(data) if length is None else start + length
+    if not 0 <= start <= end <= len(data):
+        raise FormatError(f"bytes {start} to {end} of {len(data)}")
+    return data[start:end]
+
+
 def read_entry(data: bytes, index: Index, at: int) -> bytes:
     """One payload; the size must be what the directory says."""
     e = index.entries[at]

@@ -18,6 +18,8 @@ _LATE = {16: "Effect", 17: "Source", 18: "AuxiliaryAudioBus", 19: "LowFrequencyO
 #: The reserved media entry: no payload, an offset of 1.
 RESERVED = (0, 1, 0)
 LIMIT_CHUNKS, LIMIT_ENTRIES = 4096, 1_000_000
+_FORMS = {"u8": "B", "u16": "H", "u32": "I", "f32": "f"}
+_WIDTHS = {k: struct.calcsize(v) for k, v in _FORMS.items()}
 
 
 def kind_of(version: int, code: int) -> str:
@@ -146,11 +148,12 @@ def objects(bank: dict) -> list[dict]:
 
 
 def fields(version: int, row: dict) -> list[dict]:
-    """(ordinal, path, type, value) of an object's body, for the kinds whose layout is the same within a version range; an opaque field for all others."""
+    """(ordinal, path, type, value, offset) of an object's body, for the kinds whose layout is the same within a version range; an opaque field for all others."""
     c, out = Cursor(row["body"]), []
 
-    def add(path: str, kind: str, value) -> None:
-        out.append({"ordinal": len(out), "path": path, "type": kind, "value": value if isinstance(value, str) else repr(value)})
+    def add(path: str, kind: str, value, offset: int | None = None) -> None:
+        at = c.at - _WIDTHS[kind] if offset is None and kind in _WIDTHS else offset
+        out.append({"ordinal": len(out), "path": path, "type": kind, "value": value if isinstance(value, str) else repr(value), "offset": at})
 
     if row["kind"] == "Event":
         n = c.u32() if version < 125 else c.u8()
@@ -159,9 +162,10 @@ def fields(version: int, row: dict) -> list[dict]:
             add(f"actions[{k}]", "u32", c.u32())
     elif row["kind"] == "StatefulPropertySetting":
         n = c.u8() if version < 128 else c.u16()
+        first, width = c.at, 1 if version < 128 else 2
         kinds = [c.u8() if version < 128 else c.u16() for _ in range(n)]
         for k, kind in enumerate(kinds):
-            add(f"values[{k}].type", "u8" if version < 128 else "u16", kind)
+            add(f"values[{k}].type", "u8" if version < 128 else "u16", kind, first + k * width)
             add(f"values[{k}].value", "f32", c.f32())
     elif row["kind"] == "EventAction":
         packed = c.u8()
@@ -170,15 +174,68 @@ def fields(version: int, row: dict) -> list[dict]:
             raise FormatError(f"an action's mode in {packed:#x}")
         for name, kind, form in (("action_type", "u8", "B"), ("target", "u32", "I"), ("u1", "u8", "B")):
             add(name, kind, c.unpack(form))
-        add("payload", "opaque", c.take(c.left).hex())
+        start = c.at
+        add("payload", "opaque", c.take(c.left).hex(), start)
     else:
-        add("body", "opaque", row["body"].hex())
+        add("body", "opaque", row["body"].hex(), 0)
         return out
     if c.left:
         raise FormatError(f"{c.left} bytes after a body")
     return out
 
 
+def replace_field(version: int, row: dict, path: str, value) -> tuple[dict, str]:
+    """(the object with one field's value replaced, the value it had). A field keeps its type and its bytes their number, so whatever follows stays where it is."""
+    found = next((f for f in fields(version, row) if f["path"] == path), None)
+    if found is None:
+        raise FormatError(f"no field {path}")
+    if path.endswith("_count"):
+        raise FormatError(f"{path} is what the list has")
+    kind, at = found["type"], found["offset"]
+    if kind == "opaque":
+        raw = value if isinstance(value, bytes) else None
+        if raw is None or len(raw) != len(found["value"]) // 2:
+            raise FormatError(f"{path} has {len(found['value']) // 2} bytes")
+    else:
+        if isinstance(value, bool) or not isinstance(value, float if kind == "f32" else int):
+            raise FormatError(f"{path} is of type {kind}")
+        try:
+            raw = struct.pack("<" + _FORMS[kind], value)
+        except (struct.error, OverflowError) as error:
+            raise FormatError(f"{path}: {value} is no {kind}") from error
+    body = row["body"][:at] + raw + row["body"][at + len(raw) :]
+    out = row | {"body": body}
+    fields(version, out)  # an action's mode may not be what its version knows
+    return out, found["value"]
+
+
+def copy_media(data, id_: int, out, block: int = 64 << 10) -> bool:
+    """Streams the first media entry of an id from an open bank file to an open output, ``block`` bytes at a time; whether there is one."""
+    data.seek(0)
+    index: list[tuple[int, int, int]] = []
+    while head := data.read(8):
+        if len(head) < 8:
+            raise FormatError("a chunk's head is cut off")
+        name, size = head[:4], struct.unpack("<I", head[4:])[0]
+        at = data.tell()
+        if name == b"DIDX":
+            index = media_index(data.read(size))
+        elif name == b"DATA" and (entry := next((e for e in index if e[0] == id_ and e != RESERVED), None)):
+            _, offset, left = entry
+            if offset + left > size:
+                raise FormatError(f"media {id_} lies outside the data")
+            data.seek(at + offset)
+            while left:
+                part = data.read(min(block, left))
+                if not part:
+                    raise FormatError("the data is cut off")
+                out.write(part)
+                left -= len(part)
+            return True
+        data.seek(at + size)
+    return False
+
+
 # chunks of settings, by tables: (name, form, since, until) for a value, (name, count's form, fields, since, until) for a list
 
 _ALL = (0, 1 << 31)

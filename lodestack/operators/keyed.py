@@ -72,14 +72,17 @@ def first_conflict(df: DataFrame, keys: Cols, ordinal: str, allowed: Column, fie
     """For each row the first earlier row of its key that it conflicts with.
 
     ``allowed`` tells, with the earlier row's fields prefixed ``earlier_``, whether
-    two rows may share a key. An equi-join on the keys with the rest as its
-    condition; rows without a conflict are not returned.
+    two rows may share a key. Of rows with the same fields the first stands for
+    all, so a row meets each different combination of its key once: an
+    equi-join on the keys with the rest as its condition. Rows without a
+    conflict are not returned.
     """
     later = df.select(*keys, ordinal, *fields)
-    earlier = df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(ordinal).alias(f"earlier_{ordinal}"), *(F.col(f).alias(f"earlier_{f}") for f in fields))
+    firsts = df.groupBy(*keys, *fields).agg(F.min(ordinal).alias("_first"))
+    earlier = firsts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_first").alias(f"earlier_{ordinal}"), *(F.col(f).alias(f"earlier_{f}") for f in fields))
     same = F.expr(" and ".join(f"`{k}` = _k{i}" for i, k in enumerate(keys)))
-    pairs = later.join(earlier, same & (F.col(f"earlier_{ordinal}") < F.col(ordinal)) & ~F.coalesce(allowed, F.lit(False)))
-    return pairs.groupBy(*keys, ordinal).agg(F.min(f"earlier_{ordinal}").alias(f"earlier_{ordinal}"))
+    met = later.join(earlier, same & (F.col(f"earlier_{ordinal}") < F.col(ordinal)) & ~F.coalesce(allowed, F.lit(False)))
+    return met.groupBy(*keys, ordinal).agg(F.min(f"earlier_{ordinal}").alias(f"earlier_{ordinal}"))
 
 
 def referential_audit(df: DataFrame, key: str, dimension: DataFrame, dim_key: str, dim_ordinal: str, kind: str, wanted: Column, out: str) -> DataFrame:

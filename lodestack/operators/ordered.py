@@ -7,10 +7,14 @@ are broken by what the caller names, never by chance.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sinks.shared import stored as stored_table
 
 Cols = Sequence[str]
 
@@ -49,18 +53,29 @@ def tolerance_delta(df: DataFrame, keys: Cols, order: Cols, value: str, toleranc
     """The value where it differs by more than the tolerance from the last one emitted, else null. The first row counts against ``initial``.
 
     A fold over each group's values: every step needs what the step before it
-    emitted, which no window function offers. A group lives in one row, so it
-    must fit a task: give keys with bounded groups.
+    emitted, which no window function offers. Groups are sorted within their
+    partitions and streamed; a task holds a batch and the last value emitted,
+    however long a group is. A null value emits nothing.
     """
-    fields = [c for c in df.columns if c not in keys]
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in fields if c not in order)))).alias("_rows"))
-    step = f"""aggregate(_rows, named_struct('at', {float(initial)!r}D, 'out', cast(array() as array<double>)),
-        (a, r) -> if(abs(r.`{value}` - a.at) > {tolerance!r}D,
-            named_struct('at', cast(r.`{value}` as double), 'out', concat(a.out, array(cast(r.`{value}` as double)))),
-            named_struct('at', a.at, 'out', concat(a.out, array(cast(null as double)))))).out"""
-    return rows.select(*keys, F.explode(F.arrays_zip("_rows", F.expr(step).alias("_emitted"))).alias("_z")).select(
-        *keys, *(F.col(f"_z._rows.{c}").alias(c) for c in fields), F.col("_z._emitted").alias(out)
-    )
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    at, own = df.columns.index(value), [df.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, initial
+        for batch in batches:
+            emitted = []
+            for *key, v in zip(*(batch.column(k).to_pylist() for k in own), batch.column(at).to_pylist()):
+                if group != key:
+                    group, last = key, initial
+                if v is not None and abs(v - last) > tolerance:
+                    last = float(v)
+                    emitted.append(last)
+                else:
+                    emitted.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(emitted, pa.float64())], names=schema.names)
+
+    dealt = df.repartition(*keys) if keys else df.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def run_length_expand(df: DataFrame, times: Column, offset: str) -> DataFrame:
@@ -102,16 +117,22 @@ def dense_index(df: DataFrame, order: Cols, out: str, keys: Cols = ()) -> DataFr
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     # a partition's rows count from its id shifted left by 33 bits
     ranged = ranged.withColumn("_i", F.expr("_m - shiftleft(cast(_p as bigint), 33)")).drop("_m")
-    ranged = ranged.persist()
+    ranged = stored_table(ranged, "ranged")  # rows and counts must come from the same ranges
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranged.join(F.broadcast(before), "_p").withColumn(out, (F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_i", "_before")
 
 
+#: Indices that share a bucket when ranges are taken out.
+_BUCKET = 4096
+
+
 def remove_ranges(df: DataFrame, index: str, ranges: DataFrame, low: str, count: str, out: str, order: Cols | None = None) -> DataFrame:
-    """Rows whose index lies in no range [low, low + count), numbered anew. Ranges become single indices first: an equi anti-join, not a scan of pairs."""
-    gone = run_length_expand(ranges.select(low, count), F.col(count), "_o").select((F.col(low) + F.col("_o")).cast("long").alias("_gone")).distinct()
-    kept = df.join(gone, F.col(index).cast("long") == F.col("_gone"), "left_anti")
+    """Rows whose index lies in no range [low, low + count), numbered anew. A range goes into each bucket of indices that it touches: an equi anti-join with the bounds as its condition."""
+    spans = ranges.select(F.col(low).cast("long").alias("_low"), (F.col(low) + F.col(count)).cast("long").alias("_high")).where("_low < _high")
+    spans = spans.withColumn("_bucket", F.explode(F.expr(f"sequence(cast(floor(_low / {_BUCKET}) as bigint), cast(floor((_high - 1) / {_BUCKET}) as bigint))")))
+    at = F.col(index).cast("long")
+    kept = df.withColumn("_own", F.floor(at / _BUCKET)).join(spans, (F.col("_own") == F.col("_bucket")) & (at >= F.col("_low")) & (at < F.col("_high")), "left_anti").drop("_own")
     return dense_index(kept, order or [index], out)
 
 

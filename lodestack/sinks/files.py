@@ -2,11 +2,13 @@
 
 Files go under a folder that all executors share, written under a temporary
 name and renamed, so a repeated task replaces its own files. A path that would
-leave the folder fails the job before anything is written.
+leave the folder fails the job before anything is written, and a path through a
+symbolic link fails when its file is due.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -24,6 +26,16 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else re.sub("^(file:)?/*", "file:///", folder))
 
 
+def linked_parent(base: str, name: str) -> str | None:
+    """The first folder between the base and a file that is a symbolic link, which could lead anywhere. Only local folders have links."""
+    at = base
+    for part in name.split("/")[:-1]:
+        at = f"{at}/{part}"
+        if os.path.islink(at):
+            return at
+    return None
+
+
 def safe(df: DataFrame, path: str = "path") -> DataFrame:
     """``df``; running it fails at a path that is empty, absolute, leads upwards, or has a drive or a nul."""
     problem = path_problem(F.col(path))
@@ -38,6 +50,7 @@ def write_files(df: DataFrame, folder: str, path: str = "path", data: str = "dat
         from pyspark import TaskContext
 
         store, base = _store(folder)
+        local = isinstance(store, fs.LocalFileSystem)
         attempt, n, size = TaskContext.get().taskAttemptId(), 0, 0
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -46,6 +59,8 @@ def write_files(df: DataFrame, folder: str, path: str = "path", data: str = "dat
                     store.create_dir(f"{base}/{name}", recursive=True)
                     continue
                 at = f"{base}/{name}"
+                if local and (link := linked_parent(base, name)):
+                    raise PermissionError(f"{link} is a symbolic link")
                 if not overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
                     raise FileExistsError(at)
                 store.create_dir(at.rpartition("/")[0], recursive=True)

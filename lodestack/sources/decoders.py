@@ -176,9 +176,9 @@ def _chunked_entries(data: bytes) -> Rows:
     return ({"ordinal": k} | f for k, f in enumerate(chunked.read_index(data)["files"]))
 
 
-@table("chunked.chunks", "ordinal int, offset long, compressed_length long, decompressed_length long, flags int, file int, codec string, is_boundary boolean, has_placeholder boolean")
+@table("chunked.chunks", "ordinal int, offset long, compressed_length long, decompressed_length long, flags int, volume int, codec string, is_boundary boolean, has_placeholder boolean")
 def _chunks(data: bytes) -> Rows:
-    return ({"ordinal": k, "codec": chunked.codec_of(c["flags"]), "is_boundary": chunked.is_boundary(c), "has_placeholder": chunked.has_placeholder(c)} | c for k, c in enumerate(chunked.read_index(data)["chunks"]))
+    return ({"ordinal": k, "codec": chunked.codec_of(c["flags"]), "is_boundary": chunked.is_boundary(c), "has_placeholder": chunked.has_placeholder(c), "volume": c["file"]} | c for k, c in enumerate(chunked.read_index(data)["chunks"]))
 
 
 #: name -> f(data, **parameters): one value to another.

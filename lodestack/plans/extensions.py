@@ -66,11 +66,12 @@ def anti_join(spark, sf_dir):
 
 @query("""
 select coalesce(s, c) as nation, coalesce(n_suppliers, 0) as n_suppliers, coalesce(n_customers, 0) as n_customers
-from (select s_nationkey as s, count(*) as n_suppliers from supplier where s_suppkey % 3 = 0 group by 1) full outer join (select c_nationkey as c, count(*) as n_customers from customer where c_custkey % 40 = 0 group by 1) on s = c
+from (select s_nationkey as s, count(*) as n_suppliers from supplier where s_acctbal < 0 group by 1) full outer join (select c_nationkey as c, count(*) as n_customers from customer where c_mktsegment = 'BUILDING' and c_acctbal < 0 group by 1) on s = c
 """)
 def full_outer_counts(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n_suppliers"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 40 = 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n_customers"))
+    """Suppliers and building customers in debt by nation, whichever of the two a nation has."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n_suppliers"))
+    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal < 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n_customers"))
     return s.join(c, "nation", "full").fillna(0, ["n_suppliers", "n_customers"])
 
 

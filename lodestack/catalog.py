@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import codec_queries, extensions, relational
+from .plans import codec_queries, command_queries, decoded, extensions, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **codec_queries.QUERIES, **extensions.QUERIES}
-SQL: dict[str, str] = {**relational.SQL, **codec_queries.SQL, **extensions.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **codec_queries.QUERIES, **decoded.QUERIES, **command_queries.QUERIES, **extensions.QUERIES}
+SQL: dict[str, str] = {**relational.SQL, **codec_queries.SQL, **decoded.SQL, **command_queries.SQL, **extensions.SQL}
 FLAGSHIP = "lookahead_span"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..codecs import audio, delta, keyframes, texture, tree
+from ..codecs import audio, keyframes, texture, tree
 from ..sinks.files import pack_flat, pack_packets
 from ..sources.tables import codec, decode
 from .relational import table
@@ -107,24 +107,6 @@ def tree_nodes(spark, sf_dir):
     return nodes.where("ordinal > 0").select(F.col("file").cast("long").alias("event_id"), "node", "key", "value")
 
 
-@query("select doc_id, md5(coalesce(text, '')) as md5, doc_id > 0 as has_delta from documents")
-def byte_delta(spark, sf_dir):
-    """Each text as a delta against the text's own upper half, and back."""
-
-    @F.pandas_udf("struct<back: binary, smaller: boolean>")
-    def there_and_back(column: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in column:
-            raw = t.encode()
-            source = raw[: len(raw) // 2] + b"#" + raw[len(raw) // 2 :][:4000]
-            patch = delta.encode(source, raw)
-            out.append({"back": delta.decode(source, patch), "smaller": len(patch) < len(raw) + 40})
-        return pd.DataFrame(out, columns=["back", "smaller"])
-
-    d = _documents(spark, sf_dir).withColumn("r", there_and_back("text"))
-    return d.select("doc_id", F.md5("r.back").alias("md5"), (F.col("doc_id") > 0).alias("has_delta"))
-
-
 @query("""
 with e as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events)
 select user_id, cast(frame as integer) as frame, cast(value as float)::double as x, case when event_id % 3 = 0 then null else cast(event_id % 100 as double) end as y from e

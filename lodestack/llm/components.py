@@ -11,34 +11,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import dropped, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v), u > v, to edges of the same form that hang neighbours on minima."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """edges (u, v), u > v, to edges of the same form that hang neighbours on minima, and what is stored for them."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select("u", "v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    held = []
     if large:  # a centre has many neighbours here: with the minima stored, both sides of the join are plain exchanges, which Spark can split
         low = materialise(low, "minima")
+        held.append(low)
     hung = both.join(low.hint("merge"), "u")
     if large:
         out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v")).distinct(), held
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node, component): for every node of a link, the smallest node reachable. Links may repeat or loop; an empty table gives an empty result."""
+    """(node, component), stored: for every node of a link, the smallest node reachable. Links may repeat or loop; an empty table gives an empty result."""
     now = materialise(
         edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct(), "links"
     )
     mark = None
     for _ in range(max_rounds):
-        now = materialise(_star(_star(now, True), False), "stars")
+        hung, held = _star(now, True)
+        settled, _ = _star(hung, False)
+        before, now = now, materialise(settled, "stars")
+        dropped(before, *held)
         seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(v as decimal(38,0)))")).first()
         if mark == seen:
             break
@@ -46,4 +51,6 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = materialise(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    dropped(now)
+    return out

@@ -8,9 +8,12 @@ costs a recomputation of tasks and never a rerun from the first stage.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,40 +24,64 @@ SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, else (only where it is unset) a temporary one of this machine."""
+    """The cluster's shared folder. Only where it is unset and all runs on this machine, a temporary one; elsewhere executors could not read that."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of the shared storage that goes when this process ends."""
     path = f"{shared_dir(spark)}/lodestack/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def remove() -> None:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(hadoop).delete(at, True)
-        except Exception:  # the session has ended before; the folder is the cluster's to sweep
-            pass
+        with contextlib.suppress(Exception):  # the session has ended before; the folder is the cluster's to sweep
+            _delete(spark, path)
 
     atexit.register(remove)
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared storage and read again: cuts the lineage."""
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs within sends Python at most so many rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet to the shared storage and read again: cuts the lineage. batch_rows: as in ``batches_of``."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with batches_of(spark, batch_rows) if batch_rows else contextlib.nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Frees stored tables that no later step reads."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_at)
 
 
 def text_of(column: str = "text") -> Column:

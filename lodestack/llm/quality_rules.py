@@ -2,10 +2,17 @@
 
 A rule rejects a document. A document that any rule rejects goes, so the order
 of the rules can't change a verdict, only its price. Each task measures, on the
-first ``SAMPLE`` documents it reads, what each rule costs and how many it
-rejects, then applies the rules by falling rejection per cost and stops at the
-first that rejects. What rules share (the words, the word ids) is computed when
-the first rule asks for it and charged to that rule.
+first ``SAMPLE`` documents it reads, which features of a text each rule asks
+for, what every feature costs, and which documents each rule rejects. Then it
+orders the rules step by step: next comes the rule that rejects the most of the
+sample's documents that are still there, for the cost of the features that no
+earlier rule has computed. From then on a document meets the rules in that
+order, features are computed when a rule asks for them, and the first rule that
+rejects ends the matter.
+
+The report decides by the same cascade; only afterwards, and from the same
+text, does it compute the features that its columns show and that the cascade
+had no need of.
 
 Defined cases: a null text is empty and has no words; documents without words
 fail the base rule; repeated rows are judged alike; an empty table gives an
@@ -99,29 +106,56 @@ RULES: dict[str, Callable[[Text], bool]] = {
 BASE = ("few_words", "repeated_words")
 
 
+#: The features in an order in which each needs earlier ones alone.
+FEATURES = tuple(k for k, v in vars(Text).items() if isinstance(v, cached_property))
+
+
 class Cascade:
     """The rules in the order that this task's sample gives."""
 
     def __init__(self, rules: dict[str, Callable[[Text], bool]]) -> None:
-        self.rules, self.left = rules, SAMPLE
-        self.cost = dict.fromkeys(rules, 1e-9)
-        self.hits = dict.fromkeys(rules, 0)
-        self.order = list(rules)
+        self.rules, self.order = rules, list(rules)
+        self.needs: dict[str, set[str]] = {k: set() for k in rules}
+        self.cost = dict.fromkeys(FEATURES, 0.0)
+        self.own = dict.fromkeys(rules, 1e-9)
+        self.hits: dict[str, list[bool]] = {k: [] for k in rules}
+        self.left = SAMPLE
 
     def rejects(self, text: Text) -> bool:
         if not self.left:
             return any(self.rules[k](text) for k in self.order)
         self.left -= 1
-        found = False
         for k, rule in self.rules.items():
+            fresh = Text(text.raw)
+            self.hits[k].append(bool(rule(fresh)))
+            self.needs[k].update(vars(fresh).keys() - {"raw"})
+        for k in FEATURES:
             began = time.perf_counter()
-            hit = rule(text)
+            getattr(text, k)
             self.cost[k] += time.perf_counter() - began
-            self.hits[k] += hit
-            found |= hit
+        for k, rule in self.rules.items():  # all features are there: what is left is the rule's own
+            began = time.perf_counter()
+            rule(text)
+            self.own[k] += time.perf_counter() - began
         if not self.left:
-            self.order.sort(key=lambda k: -self.hits[k] / self.cost[k])
-        return found
+            self.order = self.ordered()
+        return any(h[-1] for h in self.hits.values())
+
+    def ordered(self) -> list[str]:
+        """By falling rejection per cost, of what the rules before leave and beyond what they have computed."""
+        out, known, there = [], set(), np.ones(SAMPLE, bool)
+        hits = {k: np.array(v) for k, v in self.hits.items()}
+
+        def worth(k: str) -> tuple[float, float]:
+            cost = self.own[k] + sum(self.cost[f] for f in self.needs[k] - known)
+            return (hits[k] & there).sum() / cost, -cost
+
+        while len(out) < len(self.rules):
+            k = max((k for k in self.rules if k not in out), key=worth)
+            out.append(k)
+            known |= self.needs[k]
+            there &= ~hits[k]
+        return out
 
 
 def _raw(column: pa.Array) -> Iterator[bytes]:
@@ -131,16 +165,17 @@ def _raw(column: pa.Array) -> Iterator[bytes]:
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict | None = None) -> DataFrame:
     """For each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    extra = {k: v for k, v in (rules or RULES).items() if k not in BASE}
+    rules = {k: RULES[k] for k in BASE} | (rules or RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascade = Cascade(extra)
+        cascade = Cascade(rules)
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for raw in _raw(batch.column(1)):
                 t = Text(raw)
-                failed = any(RULES[k](t) for k in BASE)
-                row = (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, not (failed or cascade.rejects(t)))
+                kept = not cascade.rejects(t)
+                failed = any(rules[k](t) for k in BASE)
+                row = (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, kept)
                 for c, v in zip(cols, row):
                     c.append(v)
             types = [pa.int64()] * 5 + [pa.bool_()] * 2

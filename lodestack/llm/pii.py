@@ -27,8 +27,9 @@ Added kinds:
 Words count in any mixture of capitals and small letters.
 
 Spans are code points, end exclusive. Defined cases: a null or empty text has
-no spans; repeated rows get the same answer; an empty table gives an empty
-result; columns other than the id and the text are not read.
+no spans; bytes that are not valid UTF-8 count as replacement characters;
+repeated rows get the same answer; an empty table gives an empty result;
+columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -195,8 +196,8 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         anchors = automaton()
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for v in batch.column(1):
-                spans = find(v.as_py() or "", anchors)
+            for v in batch.column(1).cast(pa.binary()):
+                spans = find((v.as_py() or b"").decode("utf-8", "replace"), anchors)
                 base = [s for s in spans if s[1] < len(BASE)]
                 counts = [sum(s[1] == k for s in base) for k in range(len(BASE))]
                 for c, x in zip(cols, (*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans))):
@@ -215,14 +216,16 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         anchors = automaton()
         for batch in batches:
             out = []
-            for v in batch.column(where):
-                text = v.as_py()
+            for v in batch.column(where).cast(pa.binary()):
+                raw = v.as_py()
+                text = (raw or b"").decode("utf-8", "replace")
                 parts, at = [], 0
-                for a, k, b in find(text or "", anchors):
+                for a, k, b in find(text, anchors):
                     if a >= at:
                         parts += [text[at:a], f"[{KINDS[k]}]"]
                         at = b
-                out.append(text if not parts else "".join(parts) + text[at:])
-            yield batch.set_column(where, batch.schema.field(where), pa.array(out, batch.schema.field(where).type))
+                out.append(raw if not parts else ("".join(parts) + text[at:]).encode())
+            field = batch.schema.field(where)
+            yield batch.set_column(where, field, pa.array(out, pa.binary()).view(pa.string()).cast(field.type))
 
     return docs.mapInArrow(run, docs.schema)

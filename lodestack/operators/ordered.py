@@ -123,6 +123,33 @@ def dense_index(df: DataFrame, order: Cols, out: str, keys: Cols = ()) -> DataFr
     return ranged.join(F.broadcast(before), "_p").withColumn(out, (F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_i", "_before")
 
 
+def running_total(df: DataFrame, order: Cols, amount: Column, out: str, index: str) -> DataFrame:
+    """The sum of an amount over all rows before, in order, and how many rows these are. Range partitions are summed each by itself, as they stream, and their totals first; no task gets all rows."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_p", T.IntegerType()), T.StructField(out, T.LongType()), T.StructField(index, T.LongType()), T.StructField("_a", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, total, n = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            amounts = batch.column(batch.num_columns - 1).to_pylist()
+            before = []
+            for a in amounts:
+                before.append(total)
+                total += a
+            places = range(n, n + len(before))
+            n += len(before)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64()), pa.array(places, pa.int64()), batch.columns[-1]], names=schema.names)
+
+    ranged = df.withColumn("_a", F.coalesce(amount.cast("long"), F.lit(0))).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored_table(ranged.mapInArrow(run, schema), "running")
+    sums = ranged.groupBy("_p").agg(F.sum("_a").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
+    # a row for each range partition
+    return ranged.join(F.broadcast(sums), "_p").withColumns({out: F.col(out) + F.col("_s"), index: F.col(index) + F.col("_n")}).drop("_p", "_a", "_s", "_n")
+
+
 #: Indices that share a bucket when ranges are taken out.
 _BUCKET = 4096
 

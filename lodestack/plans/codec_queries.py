@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codecs import audio, keyframes, texture, tree
-from ..sinks.files import pack_flat, pack_packets
+from ..sinks.files import flat_shards, pack_packets
 from ..sources.tables import codec, decode
 from .relational import table
 
@@ -68,8 +68,9 @@ from documents
 """)
 def archive_round_trip(spark, sf_dir):
     rows = _documents(spark, sf_dir).select("source", F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("data"))
-    packed = pack_flat(rows, "source", profile="aligned", compression="zlib")
-    return decode(packed, "flat.files", "source", "data", strict=True).select(F.col("file").alias("archive"), "ordinal", "path", "original_size", F.md5("data").alias("md5"))
+    packed = flat_shards(rows, "source", profile="aligned", compression="zlib").withColumn("archive", F.to_json("archive"))
+    files = decode(packed, "flat.files", "archive", "data", strict=True).withColumn("shard", F.from_json("file", "key string, shard long, first long"))
+    return files.select(F.col("shard.key").alias("archive"), (F.col("shard.first") + F.col("ordinal")).cast("int").alias("ordinal"), "path", "original_size", F.md5("data").alias("md5"))
 
 
 @query("""
@@ -77,7 +78,8 @@ select source as archive, count(*) as n_entries, cast(sum(octet_length(encode(co
 """)
 def archive_index(spark, sf_dir):
     rows = _documents(spark, sf_dir).select("source", F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("data"))
-    entries = decode(pack_flat(rows, "source"), "flat.entries", "source", "data", strict=True)
+    packed = flat_shards(rows, "source").select(F.col("archive.key").alias("source"), "data")
+    entries = decode(packed, "flat.entries", "source", "data", strict=True)
     return entries.groupBy(F.col("file").alias("archive"), "profile", "compression").agg(F.count(F.lit(1)).alias("n_entries"), F.sum("original_size").alias("total"))
 
 

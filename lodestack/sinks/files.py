@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..codecs import bundle, chunked, flat
 from ..functions.text import path_problem
+from ..operators import ordered
+from .shared import stored
 
 
 def _store(folder: str):
@@ -86,8 +88,29 @@ def _packed(df: DataFrame, key: str, order: list[str], pack: Callable[[list[dict
 
 
 def pack_flat(df: DataFrame, key: str, order: str = "path", profile: str = "xor", compression: str = "none", separator: str = "preserve") -> DataFrame:
-    """(key, data): a flat archive of the (path, data) rows of each key, in order. An archive is one cell: its files together must fit a task."""
-    return _packed(df, key, [order, "path"], lambda rows: flat.write([(flat.Entry(r["path"].encode()), r["data"] or b"") for r in rows], profile, compression, separator))
+    """(key, data): a flat archive of the (path, data) rows of each key, in order. An archive is one cell: its files together must fit a task. ``flat_shards`` has no such bound."""
+    return _packed(df, key, [order, "path"], _flat(profile, compression, separator))
+
+
+def _flat(profile: str, compression: str, separator: str) -> Callable[[list[dict]], bytes]:
+    return lambda rows: flat.write([(flat.Entry(r["path"].encode()), r["data"] or b"") for r in rows], profile, compression, separator)
+
+
+def flat_shards(df: DataFrame, key: str, shard_bytes: int = 64 << 20, profile: str = "xor", compression: str = "none", separator: str = "preserve") -> DataFrame:
+    """(archive, data) with archive = struct(key, shard, first): the (path, data) rows of each key, by path, cut where ``shard_bytes`` are reached into archives that follow one another; first is the number of the shard's first file within its key."""
+    rows = ordered.running_total(df.select(key, "path", "data"), [key, "path"], F.octet_length("data"), "_before", "_at")
+    starts = stored(rows.groupBy(F.col(key).alias("_key")).agg(F.min("_before").alias("_zero"), F.min("_at").alias("_first")), "keys")
+    rows = rows.join(starts.hint("merge"), F.col(key).eqNullSafe(F.col("_key"))).withColumn("_shard", F.expr(f"(_before - _zero) div {shard_bytes}"))
+    pack = _flat(profile, compression, separator)
+    schema = f"archive struct<key: {dict(df.dtypes)[key]}, shard: bigint, first: bigint>, data binary"
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.sort_by("_at").to_pylist()
+        head = {"key": own[0][key], "shard": own[0]["_shard"], "first": own[0]["_at"] - own[0]["_first"]}
+        kind = pa.struct([("key", table.schema.field(key).type), ("shard", pa.int64()), ("first", pa.int64())])
+        return pa.table({"archive": pa.array([head], kind), "data": pa.array([pack(own)], pa.binary())})
+
+    return rows.select(key, "_shard", "_at", "_first", "path", "data").groupBy(key, "_shard").applyInArrow(run, schema)
 
 
 def pack_packets(df: DataFrame, key: str, version: int = 4, flags: int = 3) -> DataFrame:

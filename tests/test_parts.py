@@ -129,3 +129,25 @@ def test_first_conflict_of_many_rows(spark):
         if before:
             want[i, k] = min(before)
     assert got == want
+
+
+def test_shards_of_archives_follow_one_another(spark):
+    from pyspark.sql import functions as F
+
+    from lodestack.sources.tables import decode
+
+    r = random.Random(5)
+    rows = [(r.choice("xyz") if k % 9 else None, f"f{k:03}", bytes([k % 256]) * r.randrange(40)) for k in range(300)]
+    df = spark.createDataFrame(rows, "source string, path string, data binary").repartition(4)
+    shards = sink.flat_shards(df, "source", shard_bytes=300)
+    files = decode(shards.withColumn("archive", F.to_json("archive")), "flat.files", "archive", "data", strict=True)
+    files = files.withColumn("s", F.from_json("file", "key string, shard long, first long")).collect()
+    assert len({(x.s.key, x.s.shard) for x in files}) > 10
+    for key in ("x", "y", "z", None):
+        own = sorted((x.s.first + x.ordinal, x.path, x.data) for x in files if x.s.key == key)
+        want = sorted((p, d) for s, p, d in rows if s == key)
+        assert [n for n, _, _ in own] == list(range(len(own))) and [(p, d) for _, p, d in own] == want
+    sizes = {}
+    for x in files:
+        sizes[x.s.key, x.s.shard] = sizes.get((x.s.key, x.s.shard), 0) + len(x.data)
+    assert max(sizes.values()) < 300 + 40

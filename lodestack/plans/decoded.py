@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..codecs import animation, audio, bits, bundle, delta, soundbank, texture
+from ..codecs import animation, audio, bank_properties, bits, bundle, delta, soundbank, texture
 from ..functions import checksums
 from ..functions import text as fx
+from ..operators import edits
 from ..sinks.files import pack_chunked
 from ..sources.tables import codec, decode
 from .relational import table
@@ -507,6 +508,27 @@ def bank_updates(spark, sf_dir):
     return banks.select(F.col("id").alias("object_id"), F.explode(updated("version", "kind", "id", "body")).alias("f")).select("object_id", "f.*")
 
 
+@query("""
+with o as (select o_orderkey, cast([72, 88, 112, 113, 118, 120, 125, 128, 132, 134, 135, 140, 145, 150][o_custkey % 14 + 1] as bigint) as version, o_orderkey % 62 as value, o_orderkey % 2 as d from orders),
+p as (select *, case when d = 0 then value - case when version < 118 then 14 when version < 150 then 15 else 57 end when version < 112 then -1 when version < 150 or value < 9 then value when value = 9 then -1 else value - 1 end as k from o),
+n as (
+  select *, case when d = 0 then ['delay', 'fade_time', 'probability'] else ['scope', 'stop_playback', 'depth', 'attack', 'frequency', 'waveform', 'smoothing', 'pulse_width_modulation', 'initial_phase_offset', 'attack_time', 'attack_curve',
+    'decay_time', 'sustain_level', 'sustain_time', 'release_time', 'trigger_on', 'duration', 'loop', 'playback_rate', 'initial_delay'] end as names from p
+)
+select o_orderkey, version, case when d = 0 then 'event_action' else 'modulator' end as domain, case when k between 0 and len(names) - 1 then names[k + 1] end as name from n
+""")
+def bank_property_names(spark, sf_dir):
+    """What an identifier of two domains means in a version, by a join with the descriptors."""
+    rows = [(d["domain"], d["value"], d["since"], d["until"], d["name"]) for d in bank_properties.descriptors()]
+    dimension = spark.createDataFrame(rows, "domain string, value long, since long, until long, name string").withColumn("value", F.concat("domain", F.lit(":"), "value"))
+    versions = F.array(*map(F.lit, soundbank.VERSIONS))
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.element_at(versions, (F.col("o_custkey") % 14 + 1).cast("int")).cast("long").alias("version"), F.when(F.col("o_orderkey") % 2 == 0, "event_action").otherwise("modulator").alias("domain"), (F.col("o_orderkey") % 62).alias("value")
+    )
+    found = edits.versioned_lookup(o.withColumn("value", F.concat("domain", F.lit(":"), "value")), "version", "value", dimension, "name")
+    return found.select("o_orderkey", "version", "domain", "name")
+
+
 @query("""
 select o_orderkey, cast(o_orderkey % 32 + o_custkey % 2048 * 32 + o_orderkey * 7 % 8192 * 65536 as bigint) as word, o_orderkey % 32 as a, o_custkey % 2048 as b, o_orderkey * 7 % 8192 as c from orders
 """)

@@ -151,3 +151,24 @@ def test_shards_of_archives_follow_one_another(spark):
     for x in files:
         sizes[x.s.key, x.s.shard] = sizes.get((x.s.key, x.s.shard), 0) + len(x.data)
     assert max(sizes.values()) < 300 + 40
+
+
+def test_property_descriptors():
+    from lodestack.codecs import bank_properties as p
+
+    name = lambda v, d, i: (p.descriptor(v, d, i) or {}).get("name")
+    assert [name(v, "audio", 5) for v in (72, 88, 112, 118, 128, 150)] == ["playback_priority_value", "playback_priority_value", "bus_volume", "bus_volume", "bus_volume", "voice_volume_make_up_gain"]
+    assert [name(v, "audio", 9) for v in (72, 118, 128, 150)] == ["motion_low_pass_filter", "motion_volume_offset", None, "user_defined_auxiliary_send_volume_1"]
+    assert [name(v, "audio", 71) for v in (128, 132, 149, 150)] == [None, "positioning_listener_routing_speaker_panning_division_spatialization_mix"] + ["positioning_listener_routing_speaker_panning_division_spatialization_mix", None]
+    assert [name(v, "event_action", i) for v, i in ((117, 14), (118, 14), (118, 15), (150, 59))] == ["delay", None, "delay", "probability"]
+    assert name(88, "modulator", 0) is None and name(112, "modulator", 9) == "attack_time" and name(150, "modulator", 9) is None
+    # an identifier means one thing in a version
+    for d in p.descriptors():
+        for e in p.descriptors():
+            if d is not e and (d["domain"], d["value"]) == (e["domain"], e["value"]):
+                assert (d["until"] or 10**9) <= e["since"] or (e["until"] or 10**9) <= d["since"]
+    for kind, value in (("boolean", True), ("integer", -5), ("float", 0.5), ("enumerated", 3), ("identifier", 2**32 - 1)):
+        assert p.read_value(kind, p.write_value(kind, value)) == value
+    for bad in (lambda: p.write_value("integer", 1.0), lambda: p.write_value("identifier", -1), lambda: p.read_value("boolean", b"\2\0\0\0"), lambda: p.read_value("float", b"")):
+        with pytest.raises(FormatError):
+            bad()

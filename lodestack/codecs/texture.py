@@ -227,6 +227,55 @@ def _pvrtc_colours(words: np.ndarray, blue: int) -> np.ndarray:
     return np.where((words >> (15 - cut) & 1 == 1)[..., None], solid, clear)
 
 
+def _spread(end: np.ndarray, py: int, px: int) -> np.ndarray:
+    """Sixteen times the colour that a block's pixel has between the four nearest blocks' colours; edges meet their opposite."""
+    far_y, far_x = (py + 2) % 4, (px + 2) % 4
+    total = 0
+    for dy, wy in ((0, 4 - far_y), (1, far_y)):
+        for dx, wx in ((0, 4 - far_x), (1, far_x)):
+            total = total + wy * wx * np.roll(end, ((py < 2) - dy, (px < 2) - dx), (0, 1))
+    return total
+
+
+def _pvrtc_word(colour: np.ndarray, solid: np.ndarray, cut: int) -> np.ndarray:
+    """Colours (r, g, b, a) to the nearest word that ``_pvrtc_colours`` reads; ``solid`` ones without alpha."""
+    def narrow(channel: int, bits: int) -> np.ndarray:
+        return np.rint(colour[..., channel] * ((1 << bits) - 1) / 255).astype(np.int64)
+
+    full = 1 << (15 - cut) | narrow(0, 5) << (10 - cut) | narrow(1, 5) << (5 - cut) | narrow(2, 5 - cut)
+    clear = narrow(3, 3) << (12 - cut) | narrow(0, 4) << (8 - cut) | narrow(1, 4) << (4 - cut) | narrow(2, 4 - cut)
+    return np.where(solid, full, clear)
+
+
+def _pvrtc_encode(image: np.ndarray) -> bytes:
+    """Each block's two colours are the means of its pixels on both sides of the middle of their widest channel; then every pixel takes the mixture that comes nearest to it."""
+    height, width = image.shape[:2]
+    bh, bw = height // 4, width // 4
+    blocks = image.astype(np.float64).reshape(bh, 4, bw, 4, 4).transpose(0, 2, 1, 3, 4).reshape(bh, bw, 16, 4)
+    low, high = blocks.min(2), blocks.max(2)
+    widest = (high - low).argmax(-1)
+    along = np.take_along_axis(blocks, widest[..., None, None], -1)[..., 0]
+    middle = np.take_along_axis((low + high) / 2, widest[..., None], -1)
+    upper = along > middle
+    count = upper.sum(-1, keepdims=True)
+    bright = np.where(count > 0, (blocks * upper[..., None]).sum(2) / np.maximum(count, 1), blocks.mean(2))
+    dark = np.where(count < 16, (blocks * ~upper[..., None]).sum(2) / np.maximum(16 - count, 1), blocks.mean(2))
+    solid = (blocks[..., 3] == 255).all(-1)
+    words = [_pvrtc_word(dark, solid, 1), _pvrtc_word(bright, solid, 0)]
+    ends = [_pvrtc_colours(words[0], 1), _pvrtc_colours(words[1], 0)]
+    turns = np.zeros((bh, bw), np.int64)
+    pixels = image.astype(np.int64).reshape(bh, 4, bw, 4, 4)
+    for py in range(4):
+        for px in range(4):
+            a, b = (_spread(end, py, px) for end in ends)
+            error = np.stack([(((a * n + b * (8 - n) >> 7) - pixels[:, py, :, px]) ** 2).sum(-1) for n in (8, 5, 3, 0)])
+            turns |= error.argmin(0) << 2 * (4 * py + px)
+    word = turns.astype(np.uint64) | words[0].astype(np.uint64) << np.uint64(33) | words[1].astype(np.uint64) << np.uint64(48)
+    out = np.zeros(bh * bw, "<u8")
+    out[_interleaved(bw, bh).reshape(-1)] = word.reshape(-1)
+    return out.tobytes()
+
+
 def _pvrtc_decode(data: bytes, width: int, height: int) -> np.ndarray:
     """Two low-resolution images, spread bilinearly and mixed by two bits for each pixel; edges meet their opposite."""
     bw, bh = width // 4, height // 4
@@ -237,14 +286,7 @@ def _pvrtc_decode(data: bytes, width: int, height: int) -> np.ndarray:
     out = np.zeros((bh, 4, bw, 4, 4), np.uint8)
     for py in range(4):
         for px in range(4):
-            far_y, far_x = (py + 2) % 4, (px + 2) % 4
-            mixed = []
-            for end in ends:
-                total = 0
-                for dy, wy in ((0, 4 - far_y), (1, far_y)):
-                    for dx, wx in ((0, 4 - far_x), (1, far_x)):
-                        total = total + wy * wx * np.roll(end, ((py < 2) - dy, (px < 2) - dx), (0, 1))
-                mixed.append(total)
+            mixed = [_spread(end, py, px) for end in ends]
             code = turns >> 2 * (4 * py + px) & 3
             a = np.where(punch, np.array([8, 4, 4, 0])[code], np.array([8, 5, 3, 0])[code])[..., None]
             value = mixed[0] * a + mixed[1] * (8 - a) >> 7
@@ -312,6 +354,10 @@ def encode(image: np.ndarray, form: str, pitch: int | None = None, order: str =
         out = np.zeros((height, size_ // height), np.uint8)
         out[:, : rows.shape[1]] = rows
         return out.tobytes()
+    if form == "pvrtc4":
+        return _pvrtc_encode(image)
+    if form == "pvrtc4_a8":
+        return _pvrtc_encode(np.concatenate([image[..., :3], np.full_like(image[..., 3:], 255)], -1)) + image[..., 3].tobytes()
     if not form.startswith("etc1"):
         raise FormatError(f"{form} is not encoded")
     out = _etc1_encode(image)

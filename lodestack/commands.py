@@ -218,7 +218,7 @@ def ptx_decode(spark: SparkSession, p: Parameters) -> dict:
 
 @command("ptx.encode", "PNG to textures")
 def ptx_encode(spark: SparkSession, p: Parameters) -> dict:
-    form = p.choice("format", ("rgba8888", "rgba4444", "rgb565", "rgba5551", "rgba4444_tiled", "rgb565_tiled", "rgba5551_tiled", "argb8888", "etc1", "etc1_a8", "etc1_alpha", "etc1_palette", "a8", "l8"))
+    form = p.choice("format", ("rgba8888", "rgba4444", "rgb565", "rgba5551", "rgba4444_tiled", "rgb565_tiled", "rgba5551_tiled", "argb8888", "etc1", "etc1_a8", "etc1_alpha", "etc1_palette", "pvrtc4", "pvrtc4_a8", "a8", "l8"))
 
     @F.pandas_udf("binary")
     def encoded(content: pd.Series) -> pd.Series:

@@ -127,6 +127,31 @@ def etc1_pixels(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", red("o_orderkey", "o_custkey").alias("red"))
 
 
+@query("""
+with p as (select p_partkey, p_partkey * 7 % 256 as r, p_partkey * 53 % 256 as a, 4 * (p_partkey % 3 + 1) as side from part),
+s as (select *, case side when 4 then 4 when 8 then 8 else 16 end as w from p)
+select p_partkey, cast(w * w // 2 + w * w as bigint) as n_bytes, cast(round(r * 31 / 255.0) as bigint) * 8 + cast(round(r * 31 / 255.0) as bigint) // 4 as red, cast(a as bigint) as alpha from s
+""")
+def pvrtc_images(spark, sf_dir):
+    """Images of one colour in two bits a pixel with a plane of alpha beside: five bits of red, all of alpha."""
+
+    @F.pandas_udf("struct<n_bytes: long, red: long, alpha: long>")
+    def drawn(key: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        for k in key.tolist():
+            w = (4, 8, 16)[k % 3]
+            image = np.empty((w, w, 4), np.uint8)
+            image[:] = (k * 7 % 256, k * 13 % 256, k * 29 % 256, k * 53 % 256)
+            data = texture.encode(image, "pvrtc4_a8")
+            back = texture.decode(data, "pvrtc4_a8", w, w)
+            out.append((len(data), int(back[..., 0].mean()), int(back[..., 3].min())))
+        return pd.DataFrame(out, columns=["n_bytes", "red", "alpha"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", drawn("p_partkey").alias("r")).select("p_partkey", "r.*")
+
+
 # sound
 
 

@@ -172,3 +172,25 @@ def test_property_descriptors():
     for bad in (lambda: p.write_value("integer", 1.0), lambda: p.write_value("identifier", -1), lambda: p.read_value("boolean", b"\2\0\0\0"), lambda: p.read_value("float", b"")):
         with pytest.raises(FormatError):
             bad()
+
+
+def test_pvrtc_images_come_back_near():
+    import numpy as np
+
+    from lodestack.codecs import texture
+
+    y, x = np.mgrid[:32, :64]
+    smooth = np.stack([x * 4, y * 8, 255 - x * 2, np.full_like(x, 255)], -1).astype(np.uint8)
+    clear = smooth.copy()
+    clear[..., 3] = 255 - y * 4
+    for image, form, most in ((smooth, "pvrtc4", 12), (clear, "pvrtc4", 20), (clear, "pvrtc4_a8", 12)):
+        data = texture.encode(image, form)
+        back = texture.decode(data, form, 64, 32).astype(int)
+        assert np.abs(back - image)[2:-2, 2:-2].mean() < most, (form, np.abs(back - image)[2:-2, 2:-2].mean())
+        if form == "pvrtc4_a8":
+            assert (back[..., 3] == image[..., 3]).all()
+    flat = np.zeros((16, 8, 4), np.uint8)
+    flat[:] = (255, 0, 132, 255)
+    assert (texture.decode(texture.encode(flat, "pvrtc4"), "pvrtc4", 8, 16) == flat).all()
+    with pytest.raises(FormatError):
+        texture.encode(flat[:12], "pvrtc4")

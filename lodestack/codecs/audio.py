@@ -154,7 +154,7 @@ def extract_aac(data: bytes) -> bytes:
     return data[info["data_offset"] : info["data_offset"] + info["data_size"]]
 
 
-#: Sample rates by their index in an ADTS header.
+#: Sample rates by their index in an ADTS header and in an AudioSpecificConfig.
 ADTS_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 
 
@@ -177,10 +177,117 @@ def probe_adts(data: bytes) -> dict:
     return {"channels": first[0], "sample_rate": first[1], "byte_rate": -(-len(data) * first[1] // samples)}
 
 
+def _boxes(data: bytes, at: int, end: int):
+    """(type, begin, end) of the boxes side by side between two places of an MP4 file."""
+    while at + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", data, at)
+        head = 8
+        if size == 1:
+            size, head = Cursor(data, at + 8, ">").u64(), 16
+        size = end - at if size == 0 else size
+        if size < head or at + size > end:
+            raise FormatError(f"a box of {size} bytes at {at}")
+        yield kind, at + head, at + size
+        at += size
+
+
+def _inside(data: bytes, at: int, end: int, *path: bytes) -> tuple[int, int] | None:
+    """The first box at the end of a path of types."""
+    for kind in path:
+        found = next(((a, b) for k, a, b in _boxes(data, at, end) if k == kind), None)
+        if found is None:
+            return None
+        at, end = found
+    return at, end
+
+
+def _specific(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """(channels, sample rate) of the AudioSpecificConfig in an ``esds`` box, where they are told."""
+    c = Cursor(data[:end], at + 4, ">")
+
+    def descriptor() -> tuple[int, int]:
+        tag, size = c.u8(), 0
+        for _ in range(4):
+            b = c.u8()
+            size = size << 7 | b & 127
+            if b < 128:
+                break
+        return tag, c.at + size
+
+    tag, _ = descriptor()
+    if tag != 3:
+        return None
+    c.take(2)
+    flags = c.u8()
+    c.take((2 if flags & 128 else 0) + (c.u8() if flags & 64 else 0) + (2 if flags & 32 else 0))
+    tag, _ = descriptor()
+    if tag != 4:
+        return None
+    c.take(13)
+    tag, stop = descriptor()
+    if tag != 5:
+        return None
+    raw = c.take(stop - c.at)
+    word, left = int.from_bytes(raw, "big"), 8 * len(raw)
+
+    def bits(n: int) -> int:
+        nonlocal left
+        left -= n
+        if left < 0:
+            raise FormatError("an AudioSpecificConfig is cut off")
+        return word >> left & ((1 << n) - 1)
+
+    if bits(5) == 31:
+        bits(6)
+    index = bits(4)
+    rate = bits(24) if index == 15 else ADTS_RATES[index] if index < len(ADTS_RATES) else 0
+    channels = bits(4)
+    return 8 if channels == 7 else channels, rate
+
+
+def probe_mp4(data: bytes) -> dict:
+    """channels, sample_rate and byte_rate of the first AAC track of an MP4 file; without a duration the rate is 16,000 bytes a second."""
+    moov = _inside(data, 0, len(data), b"moov")
+    if moov is None:
+        raise FormatError("no tracks")
+    for kind, at, end in _boxes(data, *moov):
+        table = _inside(data, at, end, b"mdia", b"minf", b"stbl", b"stsd") if kind == b"trak" else None
+        if table is None:
+            continue
+        entry = next(((a, b) for k, a, b in _boxes(data, table[0] + 8, table[1]) if k == b"mp4a"), None)
+        if entry is None:
+            continue
+        c = Cursor(data[: entry[1]], entry[0] + 8, ">")
+        version = c.u16()
+        c.take(6)
+        channels, rate = c.u16(), (c.take(6), c.u32() >> 16)[1]
+        c.take({0: 0, 1: 16, 2: 36}.get(version, 0))
+        if config := _inside(data, c.at, entry[1], b"esds"):
+            told = _specific(data, *config) or (0, 0)
+            channels, rate = told[0] or channels, told[1] or rate
+        head = _inside(data, at, end, b"mdia", b"mdhd")
+        seconds = 0.0
+        if head:
+            c = Cursor(data[: head[1]], head[0], ">")
+            long = c.u8() == 1
+            c.take(3 + (16 if long else 8))
+            scale = c.u32()
+            seconds = (c.u64() if long else c.u32()) / scale if scale else 0.0
+        if not channels or not rate:
+            raise FormatError("no channels or no sample rate")
+        return {"channels": channels, "sample_rate": rate, "byte_rate": -int(-len(data) // seconds) if seconds else 16_000}
+    raise FormatError("no AAC track")
+
+
+def probe_aac(data: bytes) -> dict:
+    """Of AAC in MP4, which begins with a ``ftyp`` box, or in ADTS frames."""
+    return probe_mp4(data) if data[4:8] == b"ftyp" else probe_adts(data)
+
+
 def wrap_aac(data: bytes, channels: int | None = None, sample_rate: int | None = None, byte_rate: int | None = None) -> bytes:
-    """A container around an AAC stream as it stands. What is not given is read from ADTS headers."""
+    """A container around an AAC stream as it stands. What is not given is read from the stream's own headers."""
     if channels is None or sample_rate is None:
-        found = probe_adts(data)
+        found = probe_aac(data)
         channels, sample_rate, byte_rate = channels or found["channels"], sample_rate or found["sample_rate"], byte_rate or found["byte_rate"]
     if channels < 1 or sample_rate < 1:
         raise FormatError("no channels or no sample rate")

@@ -251,6 +251,38 @@ def aac_streams(spark, sf_dir):
     return heads.join(back, "file").select(F.col("file").cast("long").alias("s_suppkey"), *heads.columns[1:], "n_extracted")
 
 
+@query("""
+with s as (select s_suppkey, s_suppkey % 7 + 1 as channels, s_suppkey % 2000 as body, 8000 + s_suppkey as scale, s_suppkey % 50 * 100 as duration, [96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350][s_suppkey % 13 + 1] as rate from supplier),
+n as (select *, 16 + 8 + 48 + 8 + 8 + 32 + 8 + 8 + 16 + 36 + 36 + 8 + body as n from s)
+select s_suppkey, cast(case when channels = 7 then 8 else channels end as integer) as channels, cast(rate as bigint) as sample_rate, cast(n as bigint) as data_size,
+  cast(case when duration = 0 then 16000 else (n * scale + duration - 1) // duration end as bigint) as byte_rate from n
+""")
+def aac_files(spark, sf_dir):
+    """AAC in MP4 files, put together box by box: what their configurations and durations say after wrapping."""
+
+    def box(kind: bytes, *parts: bytes) -> bytes:
+        body = b"".join(parts)
+        return struct.pack(">I4s", 8 + len(body), kind) + body
+
+    def made(k: int) -> bytes:
+        config = (2 << 11 | k % 13 << 7 | (k % 7 + 1) << 3).to_bytes(2, "big")
+        decoder = b"\x04\x11" + bytes(13) + b"\x05\x02" + config
+        esds = box(b"esds", bytes(4), b"\x03" + bytes([3 + len(decoder)]) + bytes(3) + decoder)
+        entry = box(b"mp4a", bytes(16), struct.pack(">2H", 2, 16), bytes(4), struct.pack(">I", 44100 << 16), esds)
+        table = box(b"minf", box(b"stbl", box(b"stsd", bytes(4), struct.pack(">I", 1), entry)))
+        head = box(b"mdhd", bytes(12), struct.pack(">2I", 8000 + k, k % 50 * 100), bytes(4))
+        other = box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", box(b"stsd", bytes(4), struct.pack(">I", 0))))))
+        return box(b"ftyp", b"M4A ", bytes(4)) + box(b"moov", other, box(b"trak", box(b"mdia", head, table))) + box(b"mdat", bytes(k % 2000))
+
+    @F.pandas_udf("binary")
+    def files(key: pd.Series) -> pd.Series:
+        return pd.Series([made(k) for k in key.tolist()], dtype=object)
+
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file"), codec("audio.from_aac", strict=True)(files("s_suppkey")).alias("content"))
+    heads = decode(rows, "audio.info", strict=True)
+    return heads.select(F.col("file").cast("long").alias("s_suppkey"), "channels", "sample_rate", "data_size", "byte_rate")
+
+
 # chunked archives
 
 _CODECS = ("zlib", "copy", "bzip", "lzma")

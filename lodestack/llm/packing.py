@@ -9,7 +9,8 @@ keeps all bins that are nearly full. Partitions with a gap keep their exactly
 full bins. All other bins' documents are exchanged: dealt anew, over as few
 partitions as hold them, and packed again by best-fit decreasing. That ends
 when the bins together meet the bound of all lengths, one partition is left,
-or after ``ROUNDS``; a task never packs more than about ``ITEMS``. Only (id,
+or after ``ROUNDS``; how many bins there are beyond the bound is logged. A task
+never packs more than about ``ITEMS``. Only (id,
 piece, length) rows move; texts are read once.
 
 With target weights the sequences follow the mix of the sources: each
@@ -26,6 +27,7 @@ empty table gives an empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import struct
@@ -42,6 +44,7 @@ from pyspark.sql import types as T
 from .mixing import place
 from .runtime import materialise, text_of
 
+_LOG = logging.getLogger(__name__)
 #: Ids in a sequence.
 CAPACITY = 2048
 #: Pieces that a task packs at once, about.
@@ -49,8 +52,8 @@ ITEMS = 40_000
 #: Pieces of a range of places, about, and the most cells of places whose pieces are counted to cut the ranges.
 WINDOW, CELLS = 8192, 16_384
 ROUNDS = 5
-#: Parts of which a worker remembers the ids: some 80 MB.
-_CACHE = 350_000
+#: Parts of which a worker remembers the ids, and the length of the longest of them: some 80 MB together.
+_CACHE, _LONGEST = 350_000, 64
 _ROUND_BITS, _PART_BITS = 58, 30
 #: A text has fewer pieces than that many bits can number.
 _PIECE_BITS = 28
@@ -94,7 +97,9 @@ class WordIds(dict):
             ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes_as))]
         else:
             ids = self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[part] = found = struct.pack(f"<{len(ids)}I", *ids)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= _LONGEST:
+            self[part] = found
         return found
 
     def ids(self, raw: bytes) -> bytes:
@@ -238,6 +243,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS, mixe
         now = dict(packed.where("offset = 0").groupBy("_done").count().collect())
         if last or bins + sum(now.values()) <= bound:
             done.append(packed.select(keep))
+            beyond = bins + sum(now.values()) - bound
+            _LOG.info("%d bins, %s", bins + sum(now.values()), "certified: no packing has fewer" if beyond <= 0 else f"{beyond} more than the proven bound")
             break
         done.append(packed.where("_done").select(keep))
         bins += now.get(True, 0)

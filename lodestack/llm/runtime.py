@@ -13,7 +13,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +43,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: The folders made since each ``settled`` that is under way began.
+_MADE: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of the shared storage that goes when this process ends."""
     path = f"{shared_dir(spark)}/lodestack/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    for made in _MADE:
+        made.append(path)
 
     def remove() -> None:
         with contextlib.suppress(Exception):  # the session has ended before; the folder is the cluster's to sweep
@@ -78,6 +84,20 @@ def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     return out
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, stored; whatever it has stored on its way goes. Nothing else may read that later."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        out = materialise(make(), name)
+    finally:
+        _MADE.remove(made)
+    for path in made:
+        if path != out._stored_at:
+            _delete(out.sparkSession, path)
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Frees stored tables that no later step reads."""
     for df in tables:

@@ -7,8 +7,8 @@ import xxhash
 
 #: Words in a shingle.
 WORDS = 5
-#: Words whose hashes a worker remembers: some 60 MB.
-_WORD_CACHE = 300_000
+#: Words whose hashes a worker remembers, and the bytes of the longest of them: some 60 MB together at most.
+_WORD_CACHE, _LONGEST = 300_000, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,10 +37,9 @@ class Shingler:
         except KeyError:
             if len(known) > _WORD_CACHE:
                 known.clear()
-            for w in parts:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in parts], np.uint64)
+            found = {w: known[w] if w in known else xxhash.xxh3_64_intdigest(w) for w in set(parts)}
+            known.update((w, h) for w, h in found.items() if len(w) <= _LONGEST)
+            return np.array([found[w] for w in parts], np.uint64)
 
     def __call__(self, raw: bytes) -> np.ndarray:
         """Sorted distinct hashes; of fewer words than a shingle has, one for the whole sequence; of no words, none."""

@@ -13,7 +13,7 @@ from lodestack.llm.minhash import near_dedup
 from lodestack.llm.mixing import mixed
 from lodestack.llm.packing import packed_documents
 from lodestack.llm.quality_rules import quality_filter
-from lodestack.llm.runtime import documents, materialise
+from lodestack.llm.runtime import documents, dropped, settled
 
 #: Target weights of the sources, relative to one another; a source without one has 1.
 WEIGHTS = {f"src{i}": 1 + i % 5 for i in range(20)}
@@ -32,8 +32,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written once to the shared storage and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``; each result is written once to the shared storage and read again, and what led to it goes."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))  # noqa: B023
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

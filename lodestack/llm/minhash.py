@@ -244,6 +244,7 @@ def _tiles(large: DataFrame, texts: DataFrame, enough: float, threshold: int) ->
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
         .select("bucket", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("last"), "node", "comp", "block", *(f"x{j}" for j in range(4)))
+        .repartition(*_TILE)  # else the join's partitions, by bucket, would do for the groups, and a bucket's tiles lie in one task
     )
     passed = tiles.groupBy(*_TILE).applyInArrow(_passing(enough), "bucket long, first int, last int, node long, comp long, block int")
     passed = materialise(passed, "passed")

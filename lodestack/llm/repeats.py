@@ -1,9 +1,7 @@
 """Repeated passages by longest previous factors, over all documents at once.
 
-A position's longest previous factor is found where suffixes are sorted: among
-suffixes that share their first ``LENGTH`` bytes, all but the one with the
-smallest position have an earlier match. A suffix array of the whole corpus
-fits no machine, so only places that can repeat are sorted, next to each other:
+A suffix array of the whole corpus fits no machine, so only places that can
+repeat are sorted, next to each other:
 
 1. Every ``LENGTH``-byte window has an anchor, the smallest hash of the
    ``GRAM``-byte strings in it: equal windows have equal anchors. Consecutive
@@ -13,13 +11,16 @@ fits no machine, so only places that can repeat are sorted, next to each other:
    runs of an anchor have the same bytes, every window of theirs repeats.
 3. For all other anchors, one copy of each different run goes to the task of its
    anchor. Tasks sort the windows' suffixes by prefix doubling over ranks (8,
-   16, ... bytes up to ``LENGTH``) and by position within equal ones. In that
-   order the previous smaller position of a suffix is its predecessor, and its
-   previous factor is long enough where both have one rank; the next smaller
-   position lies in another rank. Windows of anchors with very many different
-   runs (more than ``HOT_RUNS``, or ``HOT_BYTES`` together) are dealt by their own
-   128-bit digest instead and counted, first position included: as many tasks
-   as wanted share one anchor, and nothing is left out.
+   16, ... bytes up to ``LENGTH``), which gives the suffix order and, from the
+   same ranks, the common prefixes of neighbours. In that order the previous
+   and the next smaller position of each suffix are found, with the common
+   prefixes on the way; the longer of the two is the longest previous factor
+   (``previous_factors``). Where it reaches ``LENGTH`` the window has an
+   earlier copy, and the place it was found at has a later one. Windows of
+   anchors with very many different runs (more than ``HOT_RUNS``, or
+   ``HOT_BYTES`` together) are dealt by their own 128-bit digest instead and
+   counted, first position included: as many tasks as wanted share one anchor,
+   and nothing is left out.
 4. The windows that repeat, as bits of a run, go back to every document that
    has the run, and cover the bytes that go.
 
@@ -53,6 +54,8 @@ HOT_RUNS, HOT_BYTES = 4096, 2 << 20
 _SLICE, _SORT = 1 << 18, 1 << 20
 #: Bytes of runs that a sorting task gets, about.
 _TASK = 2 << 20
+#: Windows of a run whose bits are put together at once.
+_STRETCH = 1 << 16
 _RUN = "id long, th long, start int, n int, anchor long, content long, many boolean"
 
 
@@ -143,41 +146,108 @@ def _many(h: np.ndarray, low: np.ndarray, wide: int, at: np.ndarray, span: np.nd
     return (last > first) & (equal[np.minimum(last, len(place) - 1)] > equal[np.minimum(first, len(place) - 1)])
 
 
-def suffix_ranks(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Dense ranks of the ``length``-byte prefixes of the suffixes at ``starts``, in their order, by prefix doubling."""
+def _doubled(buf: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(size, ranks of the size-byte strings at every place) for 8, 16, ... bytes, as far as ``length``; zeros follow the end."""
     n = len(buf)
     wide = np.concatenate([buf, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n + length, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | wide[j : j + n + length]
-    _, rank = np.unique(key, return_inverse=True)
-    size = 8
+    out, size = [(8, np.unique(key, return_inverse=True)[1].astype(np.uint32))], 8
     while 2 * size <= length:
+        rank = out[-1][1]
         pair = (rank[:-size].astype(np.uint64) << np.uint64(32)) | rank[size:].astype(np.uint64)
-        _, rank = np.unique(pair, return_inverse=True)
         size *= 2
-    if size < length:
-        rest = length - size
-        pair = (rank[starts].astype(np.uint64) << np.uint64(32)) | rank[starts + rest].astype(np.uint64)
-        _, found = np.unique(pair, return_inverse=True)
-        return found
-    _, found = np.unique(rank[starts], return_inverse=True)
-    return found
+        out.append((size, np.unique(pair, return_inverse=True)[1].astype(np.uint32)))
+    return out
+
 
+def _final(levels: list[tuple[int, np.ndarray]], starts: np.ndarray, length: int) -> np.ndarray:
+    size, rank = levels[-1]
+    key = rank[starts].astype(np.uint64)
+    if size < length:
+        key = (key << np.uint64(32)) | rank[starts + (length - size)].astype(np.uint64)
+    return np.unique(key, return_inverse=True)[1]
 
-def previous_factors(rank: np.ndarray, *position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(repeats, later) for each suffix, of its rank and its position (major key first).
 
-    Suffixes in order of rank, then position: a suffix whose predecessor has
-    the same rank has its previous smaller position there, with a common prefix
-    of the full length; whose successor has it, a next one.
+def suffix_ranks(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Dense ranks of the ``length``-byte prefixes of the suffixes at ``starts``, in their order, by prefix doubling."""
+    return _final(_doubled(buf, length), starts, length)
+
+
+def common_prefixes(levels: list[tuple[int, np.ndarray]], buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """How many bytes the suffixes at a and b have in common, ``length`` at most: the ranks' sizes from long to short, then single bytes."""
+    out = np.zeros(len(a), np.int64)
+    for size, rank in reversed(levels):
+        open_ = np.flatnonzero(out + size <= length)
+        at = out[open_]
+        out[open_[rank[a[open_] + at] == rank[b[open_] + at]]] += size
+    open_ = np.flatnonzero(out < length)
+    for _ in range(levels[0][0] - 1):
+        open_ = open_[out[open_] < length]
+        open_ = open_[buf[a[open_] + out[open_]] == buf[b[open_] + out[open_]]]
+        out[open_] += 1
+    return out
+
+
+def _smaller(position: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, common prefix) for each suffix: the nearest before it, in suffix order, with a smaller position (-1: none), and the least common prefix up to there.
+
+    lcp[i] is the common prefix of the suffixes i - 1 and i. All suffixes step
+    back at once, each from the one it has reached to the one that this has
+    reached: what lies between is larger.
+    """
+    n = len(position)
+    to, least = np.arange(n) - 1, lcp.copy()
+    open_ = np.flatnonzero((to >= 0) & (position[to] > position))
+    rounds = 0
+    while len(open_) and rounds < 64:
+        next_ = to[open_]
+        least[open_], to[open_] = np.minimum(least[open_], least[next_]), to[next_]
+        open_ = open_[(to[open_] >= 0) & (position[to[open_]] > position[open_])]
+        rounds += 1
+    for i in open_.tolist():  # long chains, in suffix order: what lies before is settled
+        j, low = int(to[i]), int(least[i])
+        while j >= 0 and position[j] > position[i]:
+            j, low = int(to[j]), min(low, int(least[j]))
+        to[i], least[i] = j, low
+    least[to < 0] = 0
+    return to, least
+
+
+def previous_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longest previous factor, where) for each position, of the positions in suffix order and the common prefixes with the one before.
+
+    Both smaller neighbours, the previous and the next in suffix order, are
+    asked; where is the position of the one with the longer common prefix, -1
+    for a factor of no length.
     """
-    order = np.lexsort((*reversed(position), rank))
-    same = rank[order][1:] == rank[order][:-1]
-    repeats, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    later[order[1:]] = same
-    repeats[order[1:]] = same
-    repeats[order[:-1]] |= same
+    n = len(order)
+    back, a = _smaller(order, lcp)
+    flipped = np.concatenate([[0], lcp[1:][::-1]]) if n else lcp
+    on, b = _smaller(order[::-1], flipped)
+    on, b = np.where(on >= 0, n - 1 - on, -1)[::-1], b[::-1]
+    best, at = np.where(b > a, b, a), np.where(b > a, on, back)
+    length, where = np.zeros(n, np.int64), np.full(n, -1)
+    length[order] = best
+    where[order] = np.where(best > 0, order[at], -1)
+    return length, where
+
+
+def repeated(buf: np.ndarray, starts: np.ndarray, position: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(repeats, later) for the suffixes at ``starts``; position: their places among all, smaller is earlier, each once."""
+    if not len(starts):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    levels = _doubled(buf, length)
+    rank = _final(levels, starts, length)
+    order = np.argsort(rank, kind="stable")
+    lcp = np.zeros(len(order), np.int64)
+    lcp[1:] = common_prefixes(levels, buf, starts[order[:-1]], starts[order[1:]], length)
+    place = np.argsort(position)  # the suffixes by position; previous_factors speaks of positions
+    factor, where = previous_factors(position[order], lcp)
+    later = (factor >= length)[position]
+    repeats = later.copy()
+    repeats[place[where[position[later]]]] = True  # the copy it was found at
     return repeats, later
 
 
@@ -206,8 +276,10 @@ def _sorted_suffixes(length: int):
         sizes = np.array([len(d) for d in data], np.int64)
         begins, n_ = np.cumsum(sizes) - sizes, np.array(n, np.int64)
         within = np.arange(n_.sum()) - np.repeat(np.cumsum(n_) - n_, n_)
-        rank = suffix_ranks(np.frombuffer(b"".join(data), np.uint8), np.repeat(begins, n_) + within, length)
-        repeats, later = previous_factors(rank, np.repeat(np.array(ids, np.int64), n_), np.repeat(np.array(starts, np.int64), n_) + within)
+        # the windows' places: by id, then where they begin
+        position = np.empty(len(within), np.int64)
+        position[np.lexsort((np.repeat(np.array(starts, np.int64), n_) + within, np.repeat(np.array(ids, np.int64), n_)))] = np.arange(len(within))
+        repeats, later = repeated(np.frombuffer(b"".join(data), np.uint8), np.repeat(begins, n_) + within, position, length)
         return _bits(anchor, content, n, repeats, later)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,15 +317,32 @@ def _window_rows(length: int):
     return run
 
 
-def _bits_of_windows(pdf):
-    """The windows of one run (k, repeats, later) to its bits."""
-    import pandas as pd
+def _bits_of_windows(width: int):
+    """The windows (k, repeats, later) of one stretch of a run, ``width`` windows of it, to its bits."""
 
-    n = int(pdf["n"].iloc[0])
-    flags = [np.zeros(n, bool), np.zeros(n, bool)]
-    for f, c in zip(flags, ("repeats", "later")):
-        f[pdf["k"].to_numpy()] = pdf[c].to_numpy(bool)
-    return pd.DataFrame({"anchor": [pdf["anchor"].iloc[0]], "content": [pdf["content"].iloc[0]], "repeats": [np.packbits(flags[0]).tobytes()], "later": [np.packbits(flags[1]).tobytes()]})
+    def run(pdf):
+        first = int(pdf["stretch"].iloc[0]) * width
+        flags = [np.zeros(min(width, int(pdf["n"].iloc[0]) - first), bool) for _ in range(2)]
+        for f, c in zip(flags, ("repeats", "later")):
+            f[pdf["k"].to_numpy() - first] = pdf[c].to_numpy(bool)
+        return pdf[["anchor", "content", "n", "stretch"]].iloc[:1].assign(**{c: [np.packbits(f).tobytes()] for f, c in zip(flags, ("repeats", "later"))})
+
+    return run
+
+
+def _bits_of_stretches(width: int):
+    """The bits of a run's stretches, as far as there are any, to those of the run."""
+
+    def run(pdf):
+        out = pdf[["anchor", "content"]].iloc[:1]
+        for c in ("repeats", "later"):
+            bits = bytearray(-(-int(pdf["n"].iloc[0]) // 8))
+            for at, part in zip(pdf["stretch"].to_numpy() * (width // 8), pdf[c]):
+                bits[at : at + len(part)] = part
+            out = out.assign(**{c: [bytes(bits)]})
+        return out
+
+    return run
 
 
 def _apply(length: int, keep_first: bool, with_text: bool):
@@ -325,7 +414,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("id", "place")).alias("_f")).where("_c > 1")
         twice = materialise(twice, "repeated-windows")
         flags = windows.join(twice.hint("merge"), ["h1", "h2"]).select("anchor", "content", "n", "k", F.lit(True).alias("repeats"), F.expr("not (id = _f.id and place = _f.place)").alias("later"))
-        bits = bits.unionByName(materialise(flags.groupBy("anchor", "content").applyInPandas(_bits_of_windows, _BITS), "hot-bits"))
+        # a run may have as many windows as its text: first the bits of its stretches, then its own
+        flags = flags.withColumn("stretch", F.expr(f"k div {_STRETCH}").cast("int"))
+        flags = flags.groupBy("anchor", "content", "stretch").applyInPandas(_bits_of_windows(_STRETCH), "anchor long, content long, n int, stretch int, repeats binary, later binary")
+        bits = bits.unionByName(materialise(flags.groupBy("anchor", "content").applyInPandas(_bits_of_stretches(_STRETCH), _BITS), "hot-bits"))
 
     # a run that several documents have repeats as a whole, whatever its single windows do
     first = each.select("anchor", "content", F.col("id").alias("_id"), F.col("start").alias("_start"), "copies")

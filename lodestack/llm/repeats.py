@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, text_of
+from .runtime import dropped, materialise, text_of
 from .shingles import mix
 
 #: Bytes that a repeated string has at least; bytes of an anchor's string.
@@ -385,13 +385,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # where no copy stays it does not matter which is the first
     place = "struct<id: bigint, start: int>"
     first_of = F.min(F.struct("id", "start")) if keep_first else F.first(F.lit(None).cast(place))
-    found = runs(texts.select("id", "th", "text"), length, gram)
+    found = materialise(runs(texts.select("id", "th", "text"), length, gram), "all-runs")
     anchors = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("_n"), F.min("content").alias("_a"), F.max("content").alias("_b"), F.max("many").alias("_many"), first_of.alias("_first")
     ).where("_n > 1 or _many").select("anchor", F.expr("_a <> _b or _many").alias("mixed"), "_first")
     # aggregates are stored before they are joined back: both sides of the join then are plain exchanges, whose large partitions Spark splits
     anchors = materialise(anchors, "anchors")
     held = materialise(found.join(anchors.hint("merge"), "anchor"), "runs")
+    dropped(found, anchors)
     none = F.lit(None).cast("binary")
     alike = held.where("not mixed").withColumn("_is_first", F.expr("coalesce(id = _first.id and start = _first.start, false)")).select("id", "th", F.struct("start", "n", none.alias("repeats"), F.when(F.col("_is_first"), F.lit(b"")).alias("later"), (~F.col("_is_first")).alias("all_later")).alias("mark"))
 

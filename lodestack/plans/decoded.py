@@ -116,21 +116,22 @@ def etc1_pixels(spark, sf_dir):
 
     @F.pandas_udf("long")
     def red(order: pd.Series, customer: pd.Series) -> pd.Series:
-        out = []
-        for o, c in zip(order.tolist(), customer.tolist()):
-            x, y = o % 4, c % 4
-            at = 4 * x + y
-            block = (o * 5 % 16) << 60 | (o * 3 % 16) << 56 | (o % 8) << 37 | (c % 8) << 34 | (c % 2) << 32 | (c % 5 % 2) << (16 + at) | (o % 3 % 2) << at
-            out.append(int(texture.decode(block.to_bytes(8, "big"), "etc1", 4, 4)[y, x, 0]))
-        return pd.Series(out)
+        import numpy as np
+
+        o, c = order.to_numpy(np.uint64), customer.to_numpy(np.uint64)
+        x, y = o % 4, c % 4
+        at = 4 * x + y
+        block = (o * 5 % 16) << 60 | (o * 3 % 16) << 56 | (o % 8) << 37 | (c % 8) << 34 | (c % 2) << 32 | (c % 5 % 2) << (16 + at) | (o % 3 % 2) << at
+        # all blocks side by side as one image
+        image = texture.decode(block.astype(">u8").tobytes(), "etc1", 4 * len(block), 4) if len(block) else np.zeros((4, 0, 4), np.uint8)
+        return pd.Series(image[y.astype(int), 4 * np.arange(len(block)) + x.astype(int), 0].astype(np.int64))
 
     return table(spark, sf_dir, "orders").select("o_orderkey", red("o_orderkey", "o_custkey").alias("red"))
 
 
 @query("""
-with p as (select p_partkey, p_partkey * 7 % 256 as r, p_partkey * 53 % 256 as a, 4 * (p_partkey % 3 + 1) as side from part),
-s as (select *, case side when 4 then 4 when 8 then 8 else 16 end as w from p)
-select p_partkey, cast(w * w // 2 + w * w as bigint) as n_bytes, cast(round(r * 31 / 255.0) as bigint) * 8 + cast(round(r * 31 / 255.0) as bigint) // 4 as red, cast(a as bigint) as alpha from s
+with s as (select s_suppkey, s_suppkey * 7 % 256 as r, s_suppkey * 53 % 256 as a, case s_suppkey % 3 when 0 then 4 when 1 then 8 else 16 end as w from supplier)
+select s_suppkey, cast(w * w // 2 + w * w as bigint) as n_bytes, cast(round(r * 31 / 255.0) as bigint) * 8 + cast(round(r * 31 / 255.0) as bigint) // 4 as red, cast(a as bigint) as alpha from s
 """)
 def pvrtc_images(spark, sf_dir):
     """Images of one colour in two bits a pixel with a plane of alpha beside: five bits of red, all of alpha."""
@@ -149,7 +150,7 @@ def pvrtc_images(spark, sf_dir):
             out.append((len(data), int(back[..., 0].mean()), int(back[..., 3].min())))
         return pd.DataFrame(out, columns=["n_bytes", "red", "alpha"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", drawn("p_partkey").alias("r")).select("p_partkey", "r.*")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", drawn("s_suppkey").alias("r")).select("s_suppkey", "r.*")
 
 
 # sound

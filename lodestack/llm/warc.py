@@ -136,6 +136,14 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one by one; a chunk's bytes stay where they are until they are asked for."""
+    small = [batch.column(k).to_pylist() for k in range(batch.num_columns) if batch.schema.names[k] != "data"]
+    names = [n for n in batch.schema.names if n != "data"]
+    for data, *values in zip(batch.column("data"), *small):
+        yield dict(zip(names, values)) | {"data": data}
+
+
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -153,12 +161,12 @@ def _writer(folder: str):
 
         done = []
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _each(batch):
                 if r["archive"] != number:
                     finish()
                     if now:
                         now.close()
-                        done.append((now.path, now.records))
+                        done.append((number, now.path, now.records))
                     number = r["archive"]
                     now = _Archive(folder, number, attempt)
                 if r["chunk"] == _NONE:
@@ -170,21 +178,22 @@ def _writer(folder: str):
                     if r["refers_to"] is not None:
                         now.end()
                         open_ = False
-                elif open_ and r["chunk"] == seen + 1:  # a repeated row's chunks are there again
+                elif open_ and r["chunk"] == seen + 1:  # a repeated row's chunks are there again, a revisit's are left out
                     seen += 1
-                    sha.update(r["data"])
-                    now.write(r["data"])
+                    sha.update(data := r["data"].as_py())
+                    now.write(data)
         finish()
         if now:
             now.close()
-            done.append((now.path, now.records))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
+            done.append((number, now.path, now.records))
+        numbers, paths, records = zip(*done) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(paths, pa.string()), pa.array(records, pa.int64())], names=["archive", "path", "records"])
 
     return run
 
 
 def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, chunk_bytes: int = CHUNK) -> DataFrame:
-    """Writes the archives; returns (path, records) of each, stored."""
+    """Writes the archives; returns (archive, path, records) of each, stored."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha1("html"))
@@ -202,7 +211,7 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
     body = rows.select(archive, "page_id", "digest", "html").mapInArrow(lambda b: _batched(_chunks(b, chunk_bytes)), "archive int, page_id long, digest string, chunk int, data binary")
     both = heads.unionByName(body, allowMissingColumns=True)
     dealt = both.repartitionById(archives, "archive").sortWithinPartitions("archive", "page_id", "digest", "chunk")
-    return materialise(dealt.mapInArrow(_writer(folder), "path string, records long"), "archives")
+    return materialise(dealt.mapInArrow(_writer(folder), "archive int, path string, records long"), "archives")
 
 
 def _blocks(path: str, scheme: str) -> Iterator[tuple[bool, bytes]]:
@@ -262,7 +271,7 @@ def _records(path: str, scheme: str, chunk_bytes: int) -> Iterator[tuple[dict, i
 
 
 def read_warc(archives: DataFrame, folder: str, with_data: bool = True, chunk_bytes: int = CHUNK) -> DataFrame:
-    """Chunk rows of the archives named in the column path: page_id, chunk, [data], payload_bytes and payload_digest so far, record_type, refers_to, last."""
+    """Chunk rows of the archives named in the columns archive (their number) and path: page_id, chunk, [data], payload_bytes and payload_digest so far, record_type, refers_to, last."""
 
     def page(uri: str | None) -> int | None:
         found = (uri or "").rpartition(":")[2].rstrip(">")
@@ -288,15 +297,18 @@ def read_warc(archives: DataFrame, folder: str, with_data: bool = True, chunk_by
                     full = (head["payload"], told) if revisit else (done, sha.hexdigest())
                     row = (page(head["WARC-Record-ID"]), chunk, data, *full, head["WARC-Type"], page(head.get("WARC-Refers-To")), last)
                     row = row if with_data else row[:2] + row[3:]
-                    rows += [row] * int(head.get("Lodestack-Rows", 1))
-                    size += len(data)
-                    if size >= 4 * CHUNK or len(rows) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
-                        rows, size = [], 0
+                    for _ in range(int(head.get("Lodestack-Rows", 1))):
+                        rows.append(row)
+                        size += len(data)
+                        if size >= 4 * CHUNK or len(rows) >= 5000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
+                            rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
 
-    return archives.select("path").repartition("path").mapInArrow(run, fields)
+    # a task for each archive: the path rows are so small that adaptive execution would join them into one
+    many = (archives.agg(F.max("archive")).first()[0] or 0) + 1
+    return archives.select("path", "archive").repartitionById(many, "archive").mapInArrow(run, fields)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -170,15 +170,15 @@ def command_project(spark, sf_dir):
     return _read_tracks(place, "out")
 
 
-@query("select p_partkey, '<SpawnRate>[' || p_size || ' ' || (p_size + 1) || '],50 EaseIn ' || (p_size + 2) || '</SpawnRate>' as spawn_rate from part")
+@query("select s_suppkey, '<SpawnRate>[' || (s_suppkey % 50 + 1) || ' ' || (s_suppkey % 50 + 2) || '],50 EaseIn ' || (s_suppkey % 50 + 3) || '</SpawnRate>' as spawn_rate from supplier")
 def command_particles(spark, sf_dir):
     place = _Place(spark, "particles")
-    v = F.col("p_size")
+    v = F.col("s_suppkey") % 50 + 1
     xml = F.format_string("<Emitter><Name>n</Name><SpawnRate>[%d %d],50 EaseIn %d</SpawnRate></Emitter>", v, v + 1, v + 2)
-    place.put(_named(table(spark, sf_dir, "part"), "p_partkey", "xml", xml), "in")
+    place.put(_named(table(spark, sf_dir, "supplier"), "s_suppkey", "xml", xml), "in")
     place.run("popfx.encode", "in", "made", layout="phone64")
     place.run("popfx.decode", "made", "out")
-    return place.read("out").select(F.col("stem").cast("long").alias("p_partkey"), F.regexp_extract(F.col("data").cast("string"), "<SpawnRate>.*</SpawnRate>", 0).alias("spawn_rate"))
+    return place.read("out").select(F.col("stem").cast("long").alias("s_suppkey"), F.regexp_extract(F.col("data").cast("string"), "<SpawnRate>.*</SpawnRate>", 0).alias("spawn_rate"))
 
 
 @query("select n_nationkey, cast((n_nationkey + 64) // 64 * 128 as bigint) as n_bytes, cast(8000 + n_nationkey as bigint) as sample_rate from nation")

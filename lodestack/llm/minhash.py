@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import dropped, first_rows, materialise, text_of
+from .runtime import TEXT_ROWS, dropped, first_rows, materialise, text_of
 from .shingles import Shingler, mix
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -254,7 +254,7 @@ def _tiles(large: DataFrame, texts: DataFrame, enough: float, threshold: int) ->
 
 def _answers(docs: DataFrame, id_col: str, text_col: str, threshold: int, by_id: bool) -> DataFrame:
     """For each row: doc_id, th, n_shingles, digest, comp and _low (the component's smallest id). by_id: an id joins the components of all its texts."""
-    sig = materialise(signatures(docs, id_col, text_col), "signatures")
+    sig = materialise(signatures(docs, id_col, text_col), "signatures", batch_rows=TEXT_ROWS)
     members = sig.where("digest is not null and doc_id is not null")
     # one row for each different set: the first of equal values is any of them
     nodes = members.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("_m"), *(F.first(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3", "bands")))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .mixing import place
-from .runtime import materialise, text_of
+from .runtime import TEXT_ROWS, materialise, text_of
 
 _LOG = logging.getLogger(__name__)
 #: Ids in a sequence.
@@ -219,7 +219,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS, mixe
     mixed: by the columns position, which no two documents share, and piece.
     """
     fields = [f for f in items.schema if f.name not in ("sequence_id", "offset")]
-    todo = materialise(items.select([f.name for f in fields]).withColumn("_item", F.monotonically_increasing_id()), "pieces")
+    todo = materialise(items.select([f.name for f in fields]).withColumn("_item", F.monotonically_increasing_id()), "pieces", batch_rows=TEXT_ROWS)
     keep = [f.name for f in fields] + ["sequence_id", "offset"]
     held = np.zeros(capacity + 1, np.int64)
     for length, n in todo.groupBy("length").count().collect():  # a row for each length at most
@@ -259,7 +259,7 @@ def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """For each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. weights: the sequences follow the mix of the sources by them."""
     if weights is None:
         return pack(pieces(docs, id_col, text_col, path, capacity), capacity, per_task or ITEMS)
-    found = materialise(pieces(docs, id_col, text_col, path, capacity, source_col=source_col), "pieces")
+    found = materialise(pieces(docs, id_col, text_col, path, capacity, source_col=source_col), "pieces", batch_rows=TEXT_ROWS)
     placed = place(found.where("piece = 0").select("doc", "doc_id", "source"), weights).select("row.doc", "position")
     items = found.join(placed.hint("merge"), "doc").drop("doc", "source")
     return pack(items, capacity, per_task or WINDOW, True).drop("position")

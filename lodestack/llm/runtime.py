@@ -61,6 +61,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of whole texts that Python gets at once: Spark's 10,000 are tens of megabytes on both sides.
+TEXT_ROWS = 1000
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """What runs within sends Python at most so many rows at once."""
@@ -85,11 +89,11 @@ def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What ``make`` returns, stored; whatever it has stored on its way goes. Nothing else may read that later."""
+    """What ``make`` returns, stored, in batches of ``TEXT_ROWS``; whatever it has stored on its way goes. Nothing else may read that later."""
     made: list[str] = []
     _MADE.append(made)
     try:
-        out = materialise(make(), name)
+        out = materialise(make(), name, batch_rows=TEXT_ROWS)
     finally:
         _MADE.remove(made)
     for path in made:

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from lodestack.codecs import delta
 from lodestack.plans import decoded
 
 from .compare import same
@@ -13,3 +14,17 @@ def test_aac_files_rates_are_exact(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"create view supplier as from '{tmp_path}/supplier.parquet/*.parquet'")
     same(decoded.aac_files(spark, str(tmp_path)), db, decoded.SQL["aac_files"])
+
+
+def test_bundle_patches_are_made_by_many_tasks(spark):
+    assert decoded.bundle_patches(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_equal_blocks_that_cannot_win_are_not_measured(monkeypatch):
+    """A page of zeros has 256 equal blocks; once a match reaches the end, no other can be longer."""
+    calls = []
+    common = delta._common
+    monkeypatch.setattr(delta, "_common", lambda *a: calls.append(1) or common(*a))
+    source, target = bytes(4096) + b"text" + bytes(4096), bytes(2048) + b"other" + bytes(4096)
+    assert delta.decode(source, delta.encode(source, target)) == target
+    assert len(calls) < 40

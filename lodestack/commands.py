@@ -323,7 +323,7 @@ def dzip_unpack(spark: SparkSession, p: Parameters) -> dict:
         out = []
         for c, v in zip(content, volumes):
             index, whole = chunked.read_index(c), [c, *(x["content"] for x in v)]
-            out.append([{"path": f["path"], "data": chunked.read_file(whole, index, k)} for k, f in enumerate(index["files"])])
+            out.append([{"path": f["path"], "data": raw} for f, raw in zip(index["files"], chunked.read_files(whole, index))])
         return pd.Series(out, dtype=object)
 
     main = every.where(F.substring("content", 1, 4) == F.lit(chunked.MAGIC.to_bytes(4, "little")))

@@ -168,7 +168,7 @@ _CHUNKED = "ordinal int, path string, size long, chunks array<int>"
 @table("chunked.files", _CHUNKED + ", data binary")
 def _chunked_files(data: bytes) -> Rows:
     index = chunked.read_index(data)
-    return ({"ordinal": k} | f | {"data": chunked.read_file([data], index, k)} for k, f in enumerate(index["files"]))
+    return ({"ordinal": k} | f | {"data": raw} for k, (f, raw) in enumerate(zip(index["files"], chunked.read_files([data], index))))
 
 
 @table("chunked.entries", _CHUNKED)

@@ -2,8 +2,9 @@
 
 import duckdb
 
-from lodestack.codecs import delta
+from lodestack.codecs import chunked, delta
 from lodestack.plans import decoded
+from lodestack.sources.decoders import TABLES
 
 from .compare import same
 
@@ -28,3 +29,20 @@ def test_equal_blocks_that_cannot_win_are_not_measured(monkeypatch):
     source, target = bytes(4096) + b"text" + bytes(4096), bytes(2048) + b"other" + bytes(4096)
     assert delta.decode(source, delta.encode(source, target)) == target
     assert len(calls) < 40
+
+
+def test_chunks_are_placed_once_for_all_files(monkeypatch):
+    calls = []
+    layout = chunked.resolve_layout
+    monkeypatch.setattr(chunked, "resolve_layout", lambda *a: calls.append(1) or layout(*a))
+    files = [(f"f/{k}", b"%d" % k * k, ("zlib", "copy", "bzip", "lzma")[k % 4]) for k in range(40)]
+    rows = list(TABLES["chunked.files"][1](chunked.write(files)))
+    assert [(r["path"], r["data"]) for r in rows] == [f[:2] for f in files]
+    assert len(calls) == 1
+
+
+def test_lzma_chunks_have_the_formats_dictionary():
+    """The codec's header is a byte of properties and the dictionary's size: 64 KB, as the format's own tools write it."""
+    data = chunked.write([("a", b"text", "lzma")])
+    at = chunked.read_index(data)["chunks"][0]["offset"]
+    assert data[at : at + 5] == b"\x5d\x00\x00\x01\x00"

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import dropped, materialise
+from .runtime import dropped, few_files, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """edges (u, v), u > v, to edges of the same form that hang neighbours on minima, and what is stored for them."""
+def _star(edges: DataFrame, large: bool, rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """About so many edges (u, v), u > v, to edges of the same form that hang neighbours on minima, and what is stored for them."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[DataFrame]]:
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     held = []
     if large:  # a centre has many neighbours here: with the minima stored, both sides of the join are plain exchanges, which Spark can split
-        low = materialise(low, "minima")
+        low = materialise(few_files(low, 2 * rows), "minima")
         held.append(low)
     hung = both.join(low.hint("merge"), "u")
     if large:
@@ -34,23 +34,24 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[DataFrame]]:
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node, component), stored: for every node of a link, the smallest node reachable. Links may repeat or loop; an empty table gives an empty result."""
+    """(node, component), stored: for every node of a link, the smallest node reachable. Links may repeat or loop and are read twice; an empty table gives an empty result."""
+    rows = edges.count()
     now = materialise(
-        edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct(), "links"
+        few_files(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct(), rows), "links"
     )
     mark = None
     for _ in range(max_rounds):
-        hung, held = _star(now, True)
-        settled, _ = _star(hung, False)
-        before, now = now, materialise(settled, "stars")
+        hung, held = _star(now, True, rows)
+        settled, _ = _star(hung, False, rows)
+        before, now = now, materialise(few_files(settled, 2 * rows), "stars")
         dropped(before, *held)
         seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(v as decimal(38,0)))")).first()
         if mark == seen:
             break
-        mark = seen
+        mark, rows = seen, seen[0]
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    out = materialise(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    out = materialise(few_files(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), 2 * rows), "components")
     dropped(now)
     return out

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import TEXT_ROWS, dropped, first_rows, materialise, text_of
+from .runtime import TEXT_ROWS, dropped, few_files, first_rows, materialise, text_of
 from .shingles import Shingler, mix
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -278,17 +278,19 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, threshold: int, by_id:
         repeated, texts = texts, materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
         dropped(repeated)
 
+    in_buckets = BANDS * n_nodes  # rows of a node and a bucket, at most
+
     def signed(df: DataFrame, key: str, as_: str) -> DataFrame:
         return df.join(nodes.select(F.col("node").alias(key), *(F.col(f"s{j}").alias(f"{as_}{j}") for j in range(4))).hint("merge"), key)
 
     enough = threshold / 100 - MARGIN
     stars = held.where("node <> leader").groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).agg(F.count(F.lit(1)).alias("n"))
     stars = signed(signed(stars, "b", "y"), "a", "x").withColumn("estimate", _similarity("x", "y")).where(F.col("estimate") >= enough)
-    stars = materialise(stars.select("a", "b", "estimate"), "stars")
+    stars = materialise(few_files(stars.select("a", "b", "estimate"), in_buckets), "stars")
 
     # the best candidate of each node first: what they join needs no other confirmation
     best = stars.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("_best")).select(F.col("_best.a").alias("a"), "b")
-    best = materialise(best, "best")
+    best = materialise(few_files(best, n_nodes), "best")
     links = _confirmed(best, texts, threshold)
     comp = components(links, "a", "b")
     dropped(links)
@@ -307,7 +309,7 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, threshold: int, by_id:
         dropped(before, *more)
 
     rest = placed(placed(stars.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    rest = materialise(rest, "rest")
+    rest = materialise(few_files(rest, in_buckets), "rest")
     if not rest.isEmpty():
         joined(_confirmed(rest, texts, threshold))
     dropped(rest, best)
@@ -315,12 +317,12 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, threshold: int, by_id:
     # buckets that still hold more than one component
     spread = placed(held.select("bucket", "node"), "node", "comp")
     mixed = spread.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("bucket")
-    mixed = materialise(mixed, "mixed")
-    spread = materialise(spread.join(mixed.hint("merge"), "bucket"), "spread")
+    mixed = materialise(few_files(mixed, in_buckets), "mixed")
+    spread = materialise(few_files(spread.join(mixed.hint("merge"), "bucket"), in_buckets), "spread")
     sizes = spread.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("_m"), F.sum("n").alias("_nodes"))
-    sizes = materialise(sizes.select("bucket", F.col("_m.comp").alias("_major"), "_nodes"), "sizes")
+    sizes = materialise(few_files(sizes.select("bucket", F.col("_m.comp").alias("_major"), "_nodes"), in_buckets), "sizes")
     signs = nodes.select("node", "n_shingles", *(F.col(f"s{j}").alias(f"x{j}") for j in range(4)))
-    sized = materialise(spread.join(sizes.hint("merge"), "bucket").join(signs.hint("merge"), "node"), "sized")
+    sized = materialise(few_files(spread.join(sizes.hint("merge"), "bucket").join(signs.hint("merge"), "node"), in_buckets), "sized")
     dropped(held, mixed, spread, sizes)
 
     small = sized.where(F.col("_nodes") <= SMALL).drop("n_shingles")

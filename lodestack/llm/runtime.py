@@ -77,6 +77,19 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Rows of ids and numbers that one task writes, about.
+FEW_ROWS = 100_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most about so many rows of ids and numbers, written by no more tasks than that needs, but by all cores.
+
+    On a local disk Hadoop starts a process for each file and each checksum,
+    which takes longer than a few rows do.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FEW_ROWS)))
+
+
 def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared storage and read again: cuts the lineage. batch_rows: as in ``batches_of``."""
     spark = df.sparkSession
